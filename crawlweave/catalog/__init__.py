@@ -5,6 +5,15 @@ it to SQL with the same result, written separately from the Spark code.
 """
 
 from crawlweave.catalog.registry import ORACLES, QUERIES
-from crawlweave.catalog import dates, fetching, linking, searching, statuses, urls  # noqa: F401
+from crawlweave.catalog import (  # noqa: F401
+    crawling,
+    dates,
+    fetching,
+    linking,
+    searching,
+    statuses,
+    streams,
+    urls,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

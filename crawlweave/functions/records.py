@@ -60,7 +60,8 @@ def is_accessible(status_code: Column) -> Column:
 
 def is_robots_blocked(robots_txt: Column) -> Column:
     """Any rule that starts at the root counts, also one for a sub-path."""
-    return F.coalesce(F.lower(robots_txt).contains(ROBOTS_BLOCK), F.lit(False))
+    text = F.regexp_replace(F.lower(robots_txt), r"\s+", " ")
+    return F.coalesce(text.contains(ROBOTS_BLOCK), F.lit(False))
 
 
 def access_message(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlweave.functions import records
-from crawlweave.operators.ordering import running_before
+from crawlweave.operators.ordering import FEW_ROWS, running_before
 from crawlweave.schemas import INHERITED
 
 
@@ -69,8 +70,14 @@ def not_visited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     return candidates.join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
 
 
-def number_claims(claims: DataFrame) -> DataFrame:
-    """Add ``nth``: the place of each claim in its crawl by parent, then position."""
+def number_claims(claims: DataFrame, rows: int | None = None) -> DataFrame:
+    """Add ``nth``: the place of each claim in its crawl by parent, then position.
+
+    ``rows``, if known, is the number of claims.
+    """
+    if rows is not None and rows <= FEW_ROWS:
+        order = W.partitionBy("crawl_id").orderBy("parent_seq", "pos")
+        return claims.withColumn("nth", (F.row_number().over(order) - 1).cast("bigint"))
     within = running_before(claims, ["crawl_id", "parent_seq"], "pos", F.lit(1), "_within")
     per_parent = claims.groupBy("crawl_id", "parent_seq").agg(F.count("*").alias("_n"))
     offsets = running_before(per_parent, ["crawl_id"], "parent_seq", F.col("_n"), "_offset")
@@ -81,9 +88,9 @@ def number_claims(claims: DataFrame) -> DataFrame:
     )
 
 
-def running_visited(log: DataFrame, new: Column) -> DataFrame:
+def running_visited(log: DataFrame, new: Column, rows: int | None = None) -> DataFrame:
     """Add ``before``: how many URLs the crawl had found when the record came up."""
-    return running_before(log, ["crawl_id"], "seq", new, "before")
+    return running_before(log, ["crawl_id"], "seq", new, "before", rows)
 
 
 def limit_links(links: DataFrame) -> DataFrame:

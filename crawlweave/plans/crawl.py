@@ -103,8 +103,8 @@ def crawl(
     columns = ["crawl_id", "seq", "url", "distance", *INHERITED, "stopped"]
     current = ws.save(seeds.select(columns), "frontier/level=0")
     level = 0
-    while not current.isEmpty():
-        current = _run_level(level, current, columns, snapshot, ws, now, budget, scope)
+    while rows := current.count():
+        current = _run_level(level, current, rows, columns, snapshot, ws, now, budget, scope)
         level += 1
     return _collect_result(requests, snapshot, ws, scope)
 
@@ -112,6 +112,7 @@ def crawl(
 def _run_level(
     level: int,
     current: DataFrame,
+    rows: int,
     columns: list[str],
     snapshot: Snapshot,
     ws: Workspace,
@@ -154,12 +155,13 @@ def _run_level(
     )
     if budget == "fetched":
         log = _with_fetched_so_far(log, level, ws)
-        log = running_before(log, ["crawl_id"], "seq", F.col("able").cast("bigint"), "_got")
+        got = F.col("able").cast("bigint")
+        log = running_before(log, ["crawl_id"], "seq", got, "_got", rows)
         counted = F.col("fetched_so_far") + F.col("_got")
     else:
         # The seed counts only once it is processed.
         start = F.lit(0) if level == 0 else F.col("known")
-        log = steps.running_visited(log, F.col("new_urls"))
+        log = steps.running_visited(log, F.col("new_urls"), rows)
         counted = start + F.col("before")
     reason = records.stop_reason(
         F.col("distance"),
@@ -189,7 +191,7 @@ def _run_level(
     parent = done.where("fetched").select(
         "crawl_id", F.col("seq").alias("parent_seq"), "known", "distance", *INHERITED, "stopped"
     )
-    numbered = steps.number_claims(claims).join(parent, ["crawl_id", "parent_seq"])
+    numbered = steps.number_claims(claims, claims.count()).join(parent, ["crawl_id", "parent_seq"])
     seq = F.col("known") + F.col("nth")
     children = numbered.withColumn("seq", seq).withColumn("distance", F.col("distance") + 1)
     if budget == "discovered":
