@@ -45,8 +45,14 @@ def highlights(text: Column, terms: Column) -> Column:
     return F.transform(hits, lambda p: mark(p, terms))
 
 
-def snippet(title_hits: Column, content_hits: Column) -> Column:
+def first_highlight(text: Column, terms: Column) -> Column:
+    """The first marked passage, null when no passage holds a term."""
+    hits = F.filter(passages(text), lambda p: F.arrays_overlap(tokens(p), terms))
+    return mark(F.get(hits, F.lit(0)), terms)
+
+
+def snippet(title: Column, content: Column, terms: Column) -> Column:
     """First title highlight, else first content highlight, else empty."""
     return F.coalesce(
-        F.get(title_hits, F.lit(0)), F.get(content_hits, F.lit(0)), F.lit("")
+        first_highlight(title, terms), first_highlight(content, terms), F.lit("")
     )

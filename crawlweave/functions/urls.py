@@ -17,6 +17,7 @@ KNOWN_SCHEMES = ("http", "https", "ftp", "file", "jar", "mailto")
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_PLAIN = r"^https?://[A-Za-z0-9.\-]+(?::[0-9]{1,9})?(?:[/?#]|$)"
 
 
 def trim_controls(c: Column) -> Column:
@@ -175,6 +176,7 @@ def base_parts(base: Column) -> Column:
         path(base).alias("path"),
         query(base).alias("query"),
         F.regexp_extract(base, r"^[^?#]*(.*)$", 1).alias("tail"),
+        is_parseable(base).alias("ok"),
     )
 
 
@@ -184,6 +186,17 @@ def resolve(base: Column, href: Column) -> Column:
     Null if unusable. Schemes other than http, https and ftp pass unchanged.
     """
 
+    def plain_or_any(raw: Column) -> Column:
+        """Most links are paths or plain web addresses and need no taking apart."""
+        no_dots = ~raw.contains("/.")
+        rooted = raw.startswith("/") & ~raw.startswith("//") & no_dots & base["ok"]
+        web = raw.rlike(_PLAIN) & no_dots
+        return (
+            F.when(rooted, F.concat(base["prefix"], raw))
+            .when(web, raw)
+            .otherwise(bind(relative_form(raw), absolute))
+        )
+
     def relative_form(raw: Column) -> Column:
         """A link in the page's own scheme but without a host is a relative one."""
         odd = (scheme(raw) == base["scheme"]) & ~raw.rlike(_AFTER_SCHEME + "//")
@@ -217,4 +230,4 @@ def resolve(base: Column, href: Column) -> Column:
         other = is_abs & ~scheme(ref).isin("http", "https", "ftp")
         return F.when(other, ref).otherwise(bind(joined, lambda u: F.when(is_parseable(u), u)))
 
-    return bind(bind(trim_controls(href), relative_form), absolute)
+    return bind(trim_controls(href), plain_or_any)

@@ -9,10 +9,15 @@ from crawlweave.functions import html, urls
 from crawlweave.functions.binding import bind
 
 
-def _anchors(pages: DataFrame) -> DataFrame:
-    """Pages with anchors: their hrefs, and the address the hrefs are relative to."""
+def _link_base() -> Column:
+    """Parts of the address a page's links are relative to."""
     declared = F.col("_declared")
     at = F.when(declared != "", urls.resolve(urls.base_parts(F.col("url")), declared))
+    return bind(F.coalesce(at, F.col("url")), urls.base_parts)
+
+
+def page_hrefs(pages: DataFrame) -> DataFrame:
+    """Every anchor's href by position, as written, with its page's ``base`` parts."""
     return (
         pages.select(
             "page_id",
@@ -22,21 +27,13 @@ def _anchors(pages: DataFrame) -> DataFrame:
         )
         .where(F.size("hrefs") > 0)
         .select(
-            "page_id",
-            F.col("url").alias("src_url"),
-            bind(F.coalesce(at, F.col("url")), urls.base_parts).alias("base"),
-            "hrefs",
+            "page_id", F.col("url").alias("src_url"), _link_base().alias("base"), "hrefs"
         )
+        .select("page_id", "src_url", "base", F.posexplode("hrefs").alias("_pos", "href"))
+        .select("page_id", "src_url", "base", F.col("_pos").cast("bigint").alias("pos"), "href")
     )
 
 
-def page_hrefs(pages: DataFrame) -> DataFrame:
-    """Every anchor's href by position, as written, with its page's ``base`` parts."""
-    return _anchors(pages).select(
-        "page_id", "src_url", "base", F.posexplode("hrefs").alias("_pos", "href")
-    ).select("page_id", "src_url", "base", F.col("_pos").cast("bigint").alias("pos"), "href")
-
-
 def resolve_hrefs(links: DataFrame) -> DataFrame:
     """Absolute target of each link; those that do not resolve are dropped."""
     return (
@@ -46,20 +43,38 @@ def resolve_hrefs(links: DataFrame) -> DataFrame:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, src_url, pos, dst_url)``: the resolved links of every page.
+def with_links(pages: DataFrame) -> DataFrame:
+    """Pages with ``links``, the array of ``(pos, dst_url)`` that resolve.
 
-    Resolving inside the page's row, before the rows multiply, does each link
-    once: filters on the result cannot pull the work in front of the explode.
+    Resolving inside the page's row, before rows multiply, does each link once:
+    no filter on the result can pull the work in front of an explode.
     """
+    keep = pages.columns
     resolved = F.transform(
-        "hrefs",
+        "_hrefs",
         lambda h, i: F.struct(
-            i.cast("bigint").alias("pos"), urls.resolve(F.col("base"), h).alias("dst_url")
+            i.cast("bigint").alias("pos"), urls.resolve(F.col("_base"), h).alias("dst_url")
         ),
     )
-    kept = F.filter(resolved, lambda l: l["dst_url"].isNotNull())
-    return _anchors(pages).select("page_id", "src_url", F.inline(kept))
+    return (
+        pages.withColumns(
+            {
+                "_hrefs": html.hrefs(F.col("html")),
+                "_declared": html.base_href(F.col("html")),
+            }
+        )
+        .withColumn("_base", _link_base())
+        .select(*keep, F.filter(resolved, lambda l: l["dst_url"].isNotNull()).alias("links"))
+    )
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """``(page_id, src_url, pos, dst_url)``: the resolved links of every page."""
+    return explode_links(with_links(pages.select("page_id", "url", "html")))
+
+
+def explode_links(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.col("url").alias("src_url"), F.inline("links"))
 
 
 def in_scope(dst: Column, base_url: Column, scope: str = "prefix") -> Column:

@@ -1,8 +1,8 @@
 """Bounded breadth-first crawl over page snapshots.
 
 One turn of the loop handles one level of all crawls at once. A level leaves
-three small tables behind (claims, records, the next frontier), so a lost
-executor costs no more than the level it was working on, and plans do not grow.
+its tables behind (reads, claims, records, the next frontier), so a lost
+executor costs no more than the step it was working on, and plans do not grow.
 Records keep a number ``seq`` that is dense per crawl, which makes first-come
 order and URL budgets a matter of comparing numbers.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import html, records
 from crawlweave.operators import frontier as steps
 from crawlweave.operators import gate
-from crawlweave.operators.links import in_scope, page_links
+from crawlweave.operators.links import explode_links, in_scope, with_links
 from crawlweave.operators.ordering import running_before
 from crawlweave.schemas import INHERITED
 from crawlweave.sources.pages import cap_body, latest_by_url
@@ -55,23 +55,22 @@ def take_snapshot(pages: DataFrame, ws: Workspace) -> Snapshot:
         pages = pages.withColumn("status_code", F.lit(200))
     if "robots_txt" not in pages.columns:
         pages = pages.withColumn("robots_txt", F.lit(None).cast("string"))
-    capped = cap_body(pages)
-    content = html.body_text(F.col("html"))
+    pages = cap_body(pages.select("page_id", "url", "html", "status_code", "robots_txt"))
     read = ws.save(
-        capped.select(
+        with_links(pages).select(
             "page_id",
             "url",
             html.title(F.col("html")).alias("title"),
-            content.alias("content"),
+            html.body_text(F.col("html")).alias("content"),
             "status_code",
             "robots_txt",
+            "links",
         ),
-        "texts",
+        "pages",
     )
-    texts = read.withColumn("text_length", F.length("content"))
-    links = ws.save(page_links(capped), "links")
+    texts = read.drop("links").withColumn("text_length", F.length("content"))
     facts = ws.save(latest_by_url(texts, _FACT_COLUMNS), "facts")
-    return Snapshot(texts, facts, links)
+    return Snapshot(texts, facts, explode_links(read))
 
 
 def crawl(
@@ -101,17 +100,23 @@ def crawl(
             .drop("_up")
         )
     columns = ["crawl_id", "seq", "url", "distance", *INHERITED, "stopped"]
-    current = ws.save(seeds.select(columns), "frontier/level=0")
+    frontier = _add_to_frontier(seeds.select(columns), ws, "overwrite")
     level = 0
-    while rows := current.count():
-        current = _run_level(level, current, rows, columns, snapshot, ws, now, budget, scope)
+    while rows := frontier.where(F.col("distance") == level).count():
+        frontier = _run_level(level, frontier, rows, columns, snapshot, ws, now, budget, scope)
         level += 1
-    return _collect_result(requests, snapshot, ws, scope)
+    return _collect_result(requests, snapshot, frontier, ws, scope)
+
+
+def _add_to_frontier(records: DataFrame, ws: Workspace, mode: str) -> DataFrame:
+    """All records so far. Bucketed the way claims are grouped, so that checking
+    claims against it moves none of it, however large it has grown."""
+    return ws.save_bucketed(records, "frontier", ["crawl_id", "url"], mode=mode)
 
 
 def _run_level(
     level: int,
-    current: DataFrame,
+    frontier: DataFrame,
     rows: int,
     columns: list[str],
     snapshot: Snapshot,
@@ -120,6 +125,7 @@ def _run_level(
     budget: str,
     scope: str,
 ) -> DataFrame:
+    current = frontier.where(F.col("distance") == level)
     found = gate.with_access(current.join(snapshot.facts, "url", "left"))
     static_stop = records.stop_reason(
         F.col("distance"),
@@ -130,7 +136,19 @@ def _run_level(
         F.col("max_time"),
         F.col("stopped"),
     )
-    able = found.withColumn("able", static_stop.isNull() & F.col("accessible"))
+    # Written before it is used: facts are joined once, and a level's true size
+    # decides whether it is broadcast to the links or both are shuffled.
+    able = ws.save(
+        found.select(
+            *columns,
+            "page_id",
+            "text_length",
+            "accessible",
+            "message",
+            (static_stop.isNull() & F.col("accessible")).alias("able"),
+        ),
+        f"reads/level={level}",
+    )
 
     parents = able.where("able").select(
         "crawl_id", F.col("seq").alias("parent_seq"), "base_url", "page_id"
@@ -139,9 +157,8 @@ def _run_level(
     candidates = parents.join(targets, "page_id").where(
         in_scope(F.col("url"), F.col("base_url"), scope)
     )
-    visited = ws.load("frontier", current.schema)
     claims = ws.save(
-        steps.not_visited(steps.claim_first(candidates), visited), f"claims/level={level}"
+        steps.not_visited(steps.claim_first(candidates), frontier), f"claims/level={level}"
     )
 
     per_parent = claims.groupBy("crawl_id", F.col("parent_seq").alias("seq")).agg(
@@ -196,7 +213,7 @@ def _run_level(
     children = numbered.withColumn("seq", seq).withColumn("distance", F.col("distance") + 1)
     if budget == "discovered":
         children = children.where((F.col("max_urls") <= 0) | (F.col("seq") < F.col("max_urls")))
-    return ws.save(children.select(columns), f"frontier/level={level + 1}")
+    return _add_to_frontier(children.select(columns), ws, "append")
 
 
 def _with_fetched_so_far(log: DataFrame, level: int, ws: Workspace) -> DataFrame:
@@ -210,10 +227,9 @@ def _with_fetched_so_far(log: DataFrame, level: int, ws: Workspace) -> DataFrame
 
 
 def _collect_result(
-    requests: DataFrame, snapshot: Snapshot, ws: Workspace, scope: str
+    requests: DataFrame, snapshot: Snapshot, frontier: DataFrame, ws: Workspace, scope: str
 ) -> CrawlResult:
     log = ws.load("records")
-    frontier = ws.load("frontier")
     seen_seed = log.where("fetched").select("crawl_id", "seq")
     seeds = frontier.where("seq = 0").join(seen_seed, ["crawl_id", "seq"], "left_semi")
     visited = (
@@ -289,16 +305,22 @@ def expand(
     ``(node, distance)``, each node once at its least distance. Ends when a
     level finds nothing new, so cycles are no matter.
     """
-    level = ws.save(seeds.select("node").distinct(), "reached/distance=0")
+    level = ws.save(seeds.select("node").distinct(), "level-0")
     distance = 0
+    reached = _reach(level, distance, ws, "overwrite")
     while not level.isEmpty() and distance != max_distance:
         distance += 1
-        reached = ws.load("reached", level.schema)
         found = (
             level.join(edges, level["node"] == edges["src"])
             .select(F.col("dst").alias("node"))
             .distinct()
             .join(reached, "node", "left_anti")
         )
-        level = ws.save(found, f"reached/distance={distance}")
-    return ws.load("reached").select("node", F.col("distance").cast("bigint").alias("distance"))
+        level = ws.save(found, f"level-{distance}")
+        reached = _reach(level, distance, ws, "append")
+    return reached
+
+
+def _reach(level: DataFrame, distance: int, ws: Workspace, mode: str) -> DataFrame:
+    nodes = level.withColumn("distance", F.lit(distance).cast("bigint"))
+    return ws.save_bucketed(nodes, "reached", ["node"], mode=mode)

@@ -95,7 +95,7 @@ def _present(
         "rank",
         "tier",
         "url",
-        ranking.snippets(F.col("title"), F.col("content"), F.col("terms")).alias("snippet"),
+        text.snippet(F.col("title"), F.col("content"), F.col("terms")).alias("snippet"),
     )
 
 

@@ -69,8 +69,9 @@ class Workspace:
         sort: Sequence[str] = (),
         buckets: int | None = None,
         placed: bool = False,
+        mode: str = "overwrite",
     ) -> DataFrame:
-        """Write ``df`` hash-bucketed on ``keys``.
+        """Write ``df`` hash-bucketed on ``keys``; ``mode="append"`` adds to it.
 
         Joins and aggregates on a superset of ``keys`` then need no shuffle of
         this table. One repartition puts each bucket in one task, so the write
@@ -80,7 +81,7 @@ class Workspace:
         table = f"crawlweave_{self.run_id}_{name}"
         writer = (
             (df if placed else df.repartition(buckets, *keys))
-            .write.mode("overwrite")
+            .write.mode(mode)
             .format("parquet")
             .option("path", self.path(name))
             .bucketBy(buckets, *keys)
@@ -88,7 +89,8 @@ class Workspace:
         if sort:
             writer = writer.sortBy(*sort)
         writer.saveAsTable(table)
-        self._tables.append(table)
+        if table not in self._tables:
+            self._tables.append(table)
         return self.spark.table(table)
 
     def drop_tables(self) -> None:

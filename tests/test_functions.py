@@ -96,7 +96,10 @@ def test_highlights(spark):
     long = "One two. Three four (THREE)! " + "word " * 40
     got = one(spark, text.highlights(F.lit(long), words))
     assert got == ["<em>Three</em> four (<em>THREE</em>)!"]
-    assert one(spark, text.snippet(F.array().cast("array<string>"), F.array(F.lit("c")))) == "c"
+    title = F.lit("No match here")
+    assert one(spark, text.snippet(title, F.lit(long), words)) == got[0]
+    assert one(spark, text.snippet(F.lit("three"), F.lit(long), words)) == "<em>three</em>"
+    assert one(spark, text.snippet(title, F.lit(None).cast("string"), words)) == ""
     pieces = one(spark, text.passages(F.lit(long)))
     assert " ".join(pieces).split() == long.split()
 
