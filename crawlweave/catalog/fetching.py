@@ -32,7 +32,7 @@ from crawlweave.workspace import Workspace
     """SELECT page_id,
          CASE WHEN page_id % 5 IN (3, 4) THEN NULL ELSE url END AS url,
          CASE WHEN page_id % 5 IN (0, 1) THEN page_id % 4 ELSE 0 END AS max_distance,
-         CASE WHEN page_id % 5 = 0 THEN 60 ELSE 0 END AS max_seconds,
+         CAST(CASE WHEN page_id % 5 = 0 THEN 60 ELSE 0 END AS BIGINT) AS max_seconds,
          CASE WHEN page_id % 5 IN (0, 3) THEN page_id ELSE 0 END AS max_urls
        FROM pages""",
 )
@@ -72,7 +72,7 @@ req AS (SELECT 'c' || page_id AS crawl_id,
 @query(
     "seed_records",
     f"""WITH {_REQUESTS_SQL}
-    SELECT crawl_id, url, url AS base_url, 0 AS distance, max_distance, max_urls, start_ms,
+    SELECT crawl_id, url, url AS base_url, CAST(0 AS BIGINT) AS distance, max_distance, max_urls, start_ms,
            start_ms + max_seconds * 1000 AS deadline_ms, NULL AS message
     FROM req WHERE url LIKE 'http%' AND url NOT LIKE '% %'
     UNION ALL
@@ -213,7 +213,7 @@ def accessible(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "access_message",
     f"""WITH {SITE_PAGES_SQL},
-    u AS (SELECT page_id, k, status_code, robots_txt,
+    u AS (SELECT page_id, CAST(k AS BIGINT) AS k, status_code, robots_txt,
             CASE k WHEN 0 THEN url ELSE 'foo://' || page_id || '/' END AS url
           FROM site_pages, (VALUES (0), (1)) AS f(k))
     SELECT page_id, k, CASE
@@ -323,7 +323,7 @@ def index_docs(spark: SparkSession, folder: str) -> DataFrame:
     "doc_dedup",
     f"""WITH {_DOC_SQL},
     all_docs AS (SELECT c AS crawl_id, url, base_url, content,
-                   CASE WHEN c = 'x3' AND page_id % 2 = 0 THEN 2 ELSE 1 END AS level
+                   CAST(CASE WHEN c = 'x3' AND page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS level
                  FROM docs, (VALUES ('x1'), ('x2'), ('x3')) AS v(c))
     SELECT min(crawl_id) AS crawl_id, url, base_url, content, level, 'html' AS content_type,
            count(*) AS copies

@@ -58,7 +58,7 @@ tiered AS (SELECT *, CASE WHEN contains(low, '/article/') OR contains(low, '/new
                 OR regexp_matches(low, '/[0-9]{4}/[0-9]{2}/[0-9]{2}/')
                 OR regexp_matches(low, '/[0-9]{6,}')
                 OR len(list_filter(string_split(path, '/'), lambda s: s <> '')) >= 3
-                THEN 1 ELSE 2 END AS tier,
+                THEN CAST(1 AS BIGINT) ELSE 2 END AS tier,
              row_number() OVER (PARTITION BY query_id, url ORDER BY hit) AS nth
            FROM flagged WHERE path NOT IN ('', '/')),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY hit) AS place,
@@ -93,7 +93,7 @@ shown AS (SELECT r.query_id, r.rank, r.tier, r.url, coalesce(
           FROM results r JOIN qlist q ON r.query_id = q.query_id)"""
 
 _FIXED_QUERIES_SQL = "queries AS (SELECT * FROM (VALUES {}) AS v(query_id, text))".format(
-    ", ".join(f"({i}, '{t}')" for i, t in enumerate(QUERY_TEXTS))
+    ", ".join(f"(CAST({i} AS BIGINT), '{t}')" for i, t in enumerate(QUERY_TEXTS))
 )
 
 # Documents have no address, so one is made up from source and number; every

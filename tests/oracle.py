@@ -46,6 +46,11 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     want_cols, want = _rows(names, cur.fetchall())
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    mine = {name: kinds.get(kind, kind) for name, kind in spark_df.dtypes}
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    if mine != theirs:
+        return False, f"types {mine} != {theirs}"
     if got != want:
         extra = sorted(set(got) - set(want))[:2]
         lacking = sorted(set(want) - set(got))[:2]
