@@ -103,6 +103,11 @@ def with_start_time(frontier: DataFrame, status: DataFrame, now: Column) -> Data
     )
 
 
+def without_crawls(rows: DataFrame, starting: DataFrame) -> DataFrame:
+    """Rows of a visited or status table less those of crawls that start anew."""
+    return rows.join(starting.select("crawl_id").distinct(), "crawl_id", "left_anti")
+
+
 def reset_status(status: DataFrame, starting: DataFrame, now: Column) -> DataFrame:
     """The store after ``starting`` crawls began: their rows replaced by zero rows."""
     ids = starting.select("crawl_id").distinct()
@@ -115,7 +120,7 @@ def reset_status(status: DataFrame, starting: DataFrame, now: Column) -> DataFra
         F.lit(None).cast("string").alias("error_message"),
         now.alias("last_modified"),
     )
-    return status.join(ids, "crawl_id", "left_anti").unionByName(fresh)
+    return without_crawls(status, ids).unionByName(fresh)
 
 
 def status_changes(snapshots: DataFrame) -> DataFrame:

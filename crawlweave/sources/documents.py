@@ -30,6 +30,11 @@ def index_docs(fetched: DataFrame) -> DataFrame:
     )
 
 
+def append_docs(docs: DataFrame, path: str) -> None:
+    """Add documents to a stored index; pages crawled again are added again."""
+    docs.write.mode("append").parquet(path)
+
+
 def dedup_docs(docs: DataFrame) -> DataFrame:
     """One row per document, whichever crawls found it; lowest crawl id kept.
 

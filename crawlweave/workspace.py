@@ -75,7 +75,10 @@ class Workspace:
 
         Joins and aggregates on a superset of ``keys`` then need no shuffle of
         this table. One repartition puts each bucket in one task, so the write
-        leaves one file per bucket. Only for keys without a heavy value.
+        leaves one file per bucket; ``placed`` says that ``df`` already lies that way.
+        Only for keys without a heavy value. There are as many buckets as
+        ``spark.sql.shuffle.partitions`` unless told otherwise: shuffles on the
+        same keys then line up with them, and one setting fits both to the data.
         """
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"crawlweave_{self.run_id}_{name}"

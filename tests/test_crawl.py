@@ -81,8 +81,11 @@ def simulate(row, site, budget):
     return visited, fetched, docs, errors
 
 
+@pytest.mark.parametrize("few_rows", [1 << 18, -1])
 @pytest.mark.parametrize("budget", ["discovered", "fetched"])
-def test_same_as_queue(spark, budget):
+def test_same_as_queue(spark, monkeypatch, budget, few_rows):
+    monkeypatch.setattr("crawlweave.operators.ordering.FEW_ROWS", few_rows)
+    monkeypatch.setattr("crawlweave.operators.frontier.FEW_ROWS", few_rows)
     rows, pages, sites = random_sites(80)
     done = run(spark, rows, pages, budget=budget)
     visited = done.visited.orderBy("crawl_id", "seq").collect()
@@ -101,6 +104,30 @@ def test_same_as_queue(spark, budget):
         assert counts[cid] == len(want[0])
 
 
+def test_one_crawl_and_one_url_hold_most_rows(spark, monkeypatch):
+    """A large site whose pages all link to the same pages, next to small ones."""
+    monkeypatch.setattr("crawlweave.operators.ordering.FEW_ROWS", -1)
+    monkeypatch.setattr("crawlweave.operators.frontier.FEW_ROWS", -1)
+    base, n = "https://www.big.org/", 9000
+    # Many snapshots of the root; only the last one links to the site's pages.
+    pages = [(i, base, f"<body>{FILLER}</body>", 200, None) for i in range(500)]
+    anchors = "".join(f'<a href="p{k}"></a>' for k in range(n))
+    pages.append((500, base, f"<body>{FILLER}{anchors}</body>", 200, None))
+    same = '<a href="/"></a><a href="p1"></a><a href="extra"></a>'
+    pages += [
+        (1000 + k, f"{base}p{k}", f"<body>{FILLER}{same}</body>", 200, None) for k in range(n)
+    ]
+    rows = [("all", base, -1, 3600, 0), ("some", base, -1, 3600, 7000)]
+    rows += [(f"r{i}", base, 0, 3600, 0) for i in range(20)]
+    done = run(spark, rows, pages)
+    got = {r.crawl_id: (r.num_pages, r.distance) for r in done.status.collect()}
+    assert got.pop("all") == (n + 2, 2) and got.pop("some") == (7000, 1)
+    assert set(got.values()) == {(n + 1, 1)}
+    visited = done.visited.where("crawl_id = 'some'")
+    assert [r.url for r in visited.orderBy("seq").tail(1)] == [f"{base}p6998"]
+    assert done.docs.where("crawl_id = 'all'").count() == n + 1
+
+
 def site_pages():
     links = ["/a", "/b", "/a", "/a#x", "mailto:q@t.org", "javascript:void(0)",
              "https://www.o.org/", "c", "../d", "?p=2", "//www.t.org/e"]

@@ -83,6 +83,28 @@ def test_requests_without_limits(spark):
     assert got == {1: ("x", 0, 0, 3), 2: (None, 0, 0, 0)}
 
 
+def test_requests_from_files(spark, ws):
+    lines = ['{"crawlId":"a","url":" x.org ","maxDistance":2,"requestedAt":"2024-01-01 00:00:00"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(ws.path("asked"))
+    got = requests.normalize_requests(requests.read_requests(spark, ws.path("asked"))).first()
+    assert (got.crawl_id, got.url, got.max_distance, got.max_urls) == ("a", "https://www.x.org", 2, 0)
+    assert str(got.requested_at) == "2024-01-01 00:00:00"
+
+
+def test_documents_append(spark, ws):
+    df = spark.createDataFrame([("c", "u", "b", "t", "x", 1)], "crawl_id string, url string, base_url string, title string, content string, distance int")
+    for _ in range(2):
+        documents.append_docs(documents.index_docs(df), ws.path("docs"))
+    stored = ws.load("docs")
+    assert stored.count() == 2 and stored.select("doc_key").distinct().count() == 1
+
+
+def test_crawls_that_start_anew(spark):
+    rows = spark.createDataFrame([("a", "u"), ("b", "u")], "crawl_id string, url string")
+    left = status.without_crawls(rows, rows.where("crawl_id = 'a'"))
+    assert [r.crawl_id for r in left.collect()] == ["b"]
+
+
 def test_frontier_round_trip_and_bad_messages(spark):
     rec = '{"crawlId":"c","url":"u","maxTime":0}'
     quoted = '"' + rec.replace('"', '\\"') + '"'

@@ -74,6 +74,15 @@ def test_one_query_equals_batch(spark, corpus):
     assert plan.search_one(index, "zz", Workspace(spark)).count() == 0
 
 
+def test_scans_skip_what_a_query_does_not_need(spark, corpus):
+    _, index = corpus
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [ab,cd])" in plan_of(index.postings.where(F.col("term").isin("ab", "cd")))
+    assert "EqualTo(doc_id,3)" in plan_of(index.docs.where(F.col("doc_id").isin(3)))
+    narrow = plan_of(index.docs.select("doc_id", "url").where(~F.col("homepage")))
+    assert "content" not in narrow
+
+
 def test_no_shuffle_before_the_cut(spark, corpus):
     """Scoring stays in the buckets; only per-task best hits are exchanged."""
     _, index = corpus
