@@ -15,13 +15,11 @@ from crawlweave.functions.binding import bind
 # Elements that do not break a line of text.
 INLINE_TAGS = "a|b|i|em|strong|span|u|small|sub|sup|code"
 
-_UNSEEN = (
-    r"(?is)<script\b.*?</script>",
-    r"(?is)<style\b.*?</style>",
-    r"(?s)<!--.*?-->",
-)
+# One pass, so that whichever of these starts first hides the others inside it.
+_UNSEEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
+_UNSEEN_OR_HEAD = r"(?is)<(head|script|style)\b.*?</\1\s*>|<!--.*?-->"
 _SPACE = "[ \t\r\n\f\u00a0]+"
-_ZERO_WIDTH = "[\u200b\u00ad]"
+_ZERO_WIDTH = "\u200b\u00ad"
 _OTHER_ENTITY = (
     r"&(?!(?:amp|copy|middot|quot|lt|gt|nbsp);)(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z][A-Za-z0-9]*;)"
 )
@@ -98,20 +96,17 @@ def decode_entities(text: Column, origin: Column | None = None) -> Column:
 
 
 def _squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, _ZERO_WIDTH, ""), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.translate(text, _ZERO_WIDTH, ""), _SPACE, " "))
 
 
 def without_unseen(html: Column) -> Column:
     """Page without scripts, styles and comments."""
-    for pattern in _UNSEEN:
-        html = F.regexp_replace(html, pattern, "")
-    return html
+    return F.regexp_replace(html, _UNSEEN, "")
 
 
 def body_text(html: Column) -> Column:
     """Visible body text with single spaces; empty for a null page."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<head\b.*?</head>", "")
-    text = without_unseen(text)
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN_OR_HEAD, "")
     text = F.regexp_replace(text, rf"(?i)</?({INLINE_TAGS})(\s[^>]*)?>", "")
     text = F.regexp_replace(text, "<[^>]*>", " ")
     return _squeeze(decode_entities(text, F.coalesce(html, F.lit(""))))

@@ -43,34 +43,36 @@ def resolve_hrefs(links: DataFrame) -> DataFrame:
     )
 
 
-def with_links(pages: DataFrame) -> DataFrame:
-    """Pages with ``links``, the array of ``(pos, dst_url)`` that resolve.
+def _with_anchors(pages: DataFrame) -> DataFrame:
+    return pages.withColumns(
+        {"_hrefs": html.hrefs(F.col("html")), "_declared": html.base_href(F.col("html"))}
+    ).withColumn("_base", _link_base())
 
-    Resolving inside the page's row, before rows multiply, does each link once:
-    no filter on the result can pull the work in front of an explode.
-    """
-    keep = pages.columns
-    resolved = F.transform(
+
+def _resolved() -> Column:
+    """The links of a row of ``_with_anchors`` that resolve: ``(pos, dst_url)``."""
+    every = F.transform(
         "_hrefs",
         lambda h, i: F.struct(
             i.cast("bigint").alias("pos"), urls.resolve(F.col("_base"), h).alias("dst_url")
         ),
     )
-    return (
-        pages.withColumns(
-            {
-                "_hrefs": html.hrefs(F.col("html")),
-                "_declared": html.base_href(F.col("html")),
-            }
-        )
-        .withColumn("_base", _link_base())
-        .select(*keep, F.filter(resolved, lambda l: l["dst_url"].isNotNull()).alias("links"))
-    )
+    return F.filter(every, lambda l: l["dst_url"].isNotNull())
+
+
+def with_links(pages: DataFrame) -> DataFrame:
+    """Pages with ``links``, the array of ``(pos, dst_url)`` that resolve."""
+    return _with_anchors(pages).select(*pages.columns, _resolved().alias("links"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, src_url, pos, dst_url)``: the resolved links of every page."""
-    return explode_links(with_links(pages.select("page_id", "url", "html")))
+    """``(page_id, src_url, pos, dst_url)``: the resolved links of every page.
+
+    Resolving inside the explode does each link once: no filter on the result
+    can pull the work in front of it.
+    """
+    anchored = _with_anchors(pages.select("page_id", "url", "html"))
+    return anchored.select("page_id", F.col("url").alias("src_url"), F.inline(_resolved()))
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
