@@ -187,9 +187,11 @@ def line_bitmaps(
         "found",
     )
     at_edge = found.where("edge")
-    totals = at_edge.groupBy("h1", "h2").agg(
-        F.count_distinct("_key").alias("n"),
-        F.min(F.struct("_id", "_key", "pos")).alias("first"),
+    per_doc = at_edge.groupBy("h1", "h2", "_key").agg(
+        F.min(F.struct("_id", "_key", "pos")).alias("first")
+    )
+    totals = per_doc.groupBy("h1", "h2").agg(
+        F.count("*").alias("n"), F.min("first").alias("first")
     ).where(F.col("n") >= min_docs)
     late = at_edge.join(totals, ["h1", "h2"])
     if keep_first:
