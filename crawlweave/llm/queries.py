@@ -238,3 +238,39 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint",
     )
+
+
+@query(
+    "op6_minhash_dedup",
+    r"""
+    WITH RECURSIVE doc AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingle AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM doc WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+      FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), link AS (
+      SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+      WHERE 100 * c >= 75 * (p.n + q.n - c)
+    ), reach AS (
+      SELECT doc_id, doc_id AS r FROM documents
+      UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON reach.r = link.x
+    ), smallest AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r AS component_id, doc_id = r AS kept
+    FROM smallest LEFT JOIN sizes USING (doc_id)
+    """,
+)
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import minhash_dedup
+
+    found = minhash_dedup.near_duplicates(table(spark, folder, "documents"), Workspace(spark))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        "kept",
+    )
