@@ -274,3 +274,16 @@ def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("component").alias("component_id"),
         "kept",
     )
+
+
+@query("op7_embedding_dedup")
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import embedding_dedup
+
+    found = embedding_dedup.near_vectors(table(spark, folder, "embeddings"), Workspace(spark))
+    return found.select(
+        F.col("_id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        "kept",
+    )
