@@ -1,7 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points ("pivots") are vectors picked by hash, at most ``PIVOTS`` per
-dimension. Every vector is described by its ``NEAREST`` pivots in order of
+Reference points ("pivots") are ``PIVOTS`` vectors that lie far apart, picked one
+after the other from a sample of ``SAMPLE`` vectors per dimension taken by hash;
+being spread, they are not drawn into one dense group. Every vector is described by its ``NEAREST`` pivots in order of
 closeness. Inverted lists are kept for each group of ``SHARED`` pivots among
 these, so two vectors meet in a list exactly when the count of pivots they share
 reaches ``SHARED``; lists of one are dropped before any vector moves. Inside a
@@ -36,7 +37,8 @@ from crawlweave.llm.hashing import mix
 from crawlweave.workspace import Workspace
 
 COSINE = 0.9
-PIVOTS = 512
+PIVOTS = 256
+SAMPLE = 2048
 NEAREST = 8
 SHARED = 3
 BLOCK = 1024
@@ -221,8 +223,17 @@ def _compare(cosine: float, shared: int):
     return run
 
 
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of ``sample``, each the one furthest from those before it."""
+    chosen, closest = [0], sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
 def pick_pivots(distinct: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """At most ``pivots`` unit vectors per dimension, chosen by a hash of the vector."""
+    """At most ``pivots`` unit vectors per dimension, from a bounded sample."""
     chosen: dict[int, np.ndarray] = {}
     dims = [r[0] for r in distinct.select((F.octet_length("v") / 8).cast("int")).distinct().collect()]
     for dim in dims:
@@ -230,10 +241,10 @@ def pick_pivots(distinct: DataFrame, pivots: int) -> dict[int, np.ndarray]:
             distinct.where(F.octet_length("v") == 8 * dim)
             .select("v", F.xxhash64("v").alias("h"))
             .orderBy("h", "v")
-            .limit(pivots)
+            .limit(SAMPLE)
             .collect()
         )
-        chosen[dim] = unit(np.stack([np.frombuffer(r.v, np.float64) for r in rows]))
+        chosen[dim] = spread(unit(np.stack([np.frombuffer(r.v, np.float64) for r in rows])), pivots)
     return chosen
 
 
