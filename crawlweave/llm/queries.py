@@ -287,3 +287,15 @@ def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("component").alias("component_id"),
         "kept",
     )
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import language_id
+
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs, ~language_id.held_out(), Workspace(spark))
+    rows = docs.select(
+        "doc_id", language_id.held_out().alias("held_out"), F.col("text").alias("_text")
+    )
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
