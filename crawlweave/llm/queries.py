@@ -299,3 +299,20 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", language_id.held_out().alias("held_out"), F.col("text").alias("_text")
     )
     return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import language_id, ngram_lm
+
+    docs = table(spark, folder, "documents")
+    held = language_id.held_out(of=5, remainder=1)
+    return ngram_lm.score_documents(docs, ~held, Workspace(spark)).select(
+        F.col("_id").alias("doc_id"),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
