@@ -316,3 +316,17 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import substring_dedup
+
+    found = substring_dedup.repeated_passages(table(spark, folder, "documents"), Workspace(spark))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"),
+        F.col("n_words").cast("bigint").alias("n_words"),
+        F.col("first_id").alias("first_doc_id"),
+    )
