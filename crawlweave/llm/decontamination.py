@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.llm.rows import join_keyed, keyed
+from crawlweave.llm.rows import join_keyed, keyed, rows_back, with_rest
 from crawlweave.workspace import Workspace
 
 WINDOW = 13
@@ -160,3 +160,10 @@ def contamination(
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, ws: Workspace, **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    gone = contamination(docs, items, ws, **options).where("contaminated")
+    rows = join_keyed(with_rest(docs), gone.select("_id", "_key").distinct(), "left_anti")
+    return rows_back(rows, docs)

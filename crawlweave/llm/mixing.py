@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlweave.llm.rows import join_keyed, row_key, rows_back, with_rest
 from crawlweave.workspace import Workspace
 
 MAX_SOURCES = 1_000_000
@@ -101,11 +102,12 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``_id, source, size, source_size, target, taken`` of each row of ``docs``."""
+    """``_id, _key, source, size, source_size, target, taken`` of each row of ``docs``."""
     spark = docs.sparkSession
     sized = ws.save(
         docs.select(
             F.col(id_col).alias("_id"),
+            row_key(id_col, text_col).alias("_key"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
         ),
@@ -152,9 +154,23 @@ def mix(
         small, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))
     ).select(
         "_id",
+        "_key",
         "source",
         "size",
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + last).cast("bigint").alias("taken"),
     )
+
+
+def take_mix(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``."""
+    added = ["size", "source_size", "target", "taken"]
+    mixed = mix(docs, ws, **options).where("taken > 0")
+    one = mixed.groupBy("_id", "_key").agg(*[F.max(c).alias(f"_{c}") for c in added])
+    both = join_keyed(with_rest(docs), one, "inner").withColumn(
+        "_row", F.struct("_row.*", *[F.col(f"_{c}") for c in added])
+    )
+    taken = {f"_{c}": c for c in added}
+    shape = docs.withColumns({f"_{c}": F.lit(0) for c in added})
+    return rows_back(both, shape).withColumnsRenamed(taken)

@@ -60,7 +60,8 @@ def join_keyed(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
     """Join on ``_id`` and ``_key``; a null id meets a null id."""
     r = right.withColumnRenamed("_id", "_rid").withColumnRenamed("_key", "_rkey")
     on = (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid"))
-    return left.join(r, on, how).drop("_rid", "_rkey")
+    joined = left.join(r, on, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop("_rid", "_rkey")
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
