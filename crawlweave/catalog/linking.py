@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlweave.catalog.registry import query, table
@@ -45,12 +45,24 @@ forms AS (SELECT page_id, pos, src_url, unnest(range(0, 12)) AS k, unnest([
 
 
 def _href_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Every link of every page, rewritten in 12 ways."""
-    word = F.substring_index("href", "/", -1)
-    links = ops.page_hrefs(table(spark, folder, "pages"))
+    """Every link of every page, rewritten in 12 ways, and resolved."""
+    anchored = ops.with_anchors(table(spark, folder, "pages").select("page_id", "url", "html"))
+    forms = F.flatten(F.transform("_hrefs", _forms))
+    links = ops.inline_links(anchored.withColumn("_hrefs", forms))
+    return links.select(
+        "page_id",
+        F.floor(F.col("pos") / 12).cast("bigint").alias("pos"),
+        (F.col("pos") % 12).alias("k"),
+        "src_url",
+        "dst_url",
+    )
+
+
+def _forms(href: Column) -> Column:
     lit = F.lit
-    forms = F.array(
-        F.col("href"),
+    word = F.substring_index(href, "/", -1)
+    return F.array(
+        href,
         lit("https://www.o.org/x?y=1#z"),
         lit("//www.t.org/e?z=1"),
         lit("?p=2"),
@@ -63,10 +75,6 @@ def _href_forms(spark: SparkSession, folder: str) -> DataFrame:
         lit("http://www.o.org:bad/"),
         lit(" https://u:p@o.org/k\n"),
     )
-    return (
-        links.select("page_id", "pos", "src_url", "base", F.posexplode(forms).alias("k", "href"))
-        .withColumn("k", F.col("k").cast("bigint"))
-    )
 
 
 @query(
@@ -75,8 +83,7 @@ def _href_forms(spark: SparkSession, folder: str) -> DataFrame:
     SELECT page_id, pos, k, dst_url FROM forms WHERE dst_url IS NOT NULL""",
 )
 def resolve_links(spark: SparkSession, folder: str) -> DataFrame:
-    resolved = ops.resolve_hrefs(_href_forms(spark, folder))
-    return resolved.select("page_id", "pos", "k", "dst_url")
+    return _href_forms(spark, folder).select("page_id", "pos", "k", "dst_url")
 
 
 @query(
@@ -89,7 +96,7 @@ def resolve_links(spark: SparkSession, folder: str) -> DataFrame:
     FROM s WHERE dst_url IS NOT NULL AND NOT regexp_matches(dst_url, '^(mailto|javascript):')""",
 )
 def scope_links(spark: SparkSession, folder: str) -> DataFrame:
-    resolved = ops.resolve_hrefs(_href_forms(spark, folder))
+    resolved = _href_forms(spark, folder)
     base = F.concat(urls.site(F.col("src_url")), F.lit("/"))
     dst = F.col("dst_url")
     return ops.scope_links(resolved, base, "any").select(

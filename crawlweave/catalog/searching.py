@@ -137,17 +137,11 @@ def text_docs(documents: DataFrame) -> DataFrame:
     )
 
 
-_BUILT: dict[tuple[str, str, str], plan.SearchIndex] = {}
-
-
 def index_of(spark: SparkSession, folder: str, name: str) -> plan.SearchIndex:
-    """The index of a table, built once per application and kept for later queries."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _BUILT:
-        source = table(spark, folder, name)
-        docs = plan.page_docs(source) if name == "pages" else text_docs(source)
-        _BUILT[key] = plan.build_index(docs, Workspace(spark))
-    return _BUILT[key]
+    """The index of a table, built anew for each query."""
+    source = table(spark, folder, name)
+    docs = plan.page_docs(source) if name == "pages" else text_docs(source)
+    return plan.build_index(docs, Workspace(spark))
 
 
 def fixed_queries(spark: SparkSession) -> DataFrame:

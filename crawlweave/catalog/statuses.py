@@ -140,7 +140,8 @@ def status_latest(spark: SparkSession, folder: str) -> DataFrame:
     SELECT a.crawl_id, coalesce(f.d, 0) AS distance, coalesce(num_pages, 0) AS num_pages,
            CASE WHEN f.s IN ('maxDistance', 'maxUrls', 'timeout', 'userInitiated') THEN f.s END
              AS stop_reason,
-           f.e AS error_message, (epoch_us(start_time) // 1000) AS start_ms,
+           f.e AS error_message,
+           (epoch_us(coalesce(start_time, {NOW_SQL})) // 1000) AS start_ms,
            (epoch_us(last_modified) // 1000) AS modified_ms
     FROM asked a LEFT JOIN latest l ON a.crawl_id = l.crawl_id""",
 )
@@ -148,7 +149,7 @@ def status_view(spark: SparkSession, folder: str) -> DataFrame:
     log = _log(spark, folder)
     known = log.select("crawl_id").distinct()
     missing = known.select(F.concat(F.lit("unknown-"), "crawl_id").alias("crawl_id"))
-    report = progress_report(known.unionByName(missing), log)
+    report = progress_report(known.unionByName(missing), log, _now())
     return status_out(report).join(report.select("crawl_id", "num_pages"), "crawl_id")
 
 

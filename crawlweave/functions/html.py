@@ -16,8 +16,10 @@ from crawlweave.functions.binding import bind
 INLINE_TAGS = "a|b|i|em|strong|span|u|small|sub|sup|code"
 
 # One pass, so that whichever of these starts first hides the others inside it.
-_UNSEEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
-_UNSEEN_OR_HEAD = r"(?is)<(head|script|style)\b.*?</\1\s*>|<!--.*?-->"
+# One that is never closed runs to the end, so a page is read once however many
+# openers it has. Of the head only the title is text.
+_UNSEEN = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+_UNSEEN_OR_TITLE = r"(?is)<(title|script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
 _SPACE = "[ \t\r\n\f\u00a0]+"
 _ZERO_WIDTH = "\u200b\u00ad"
 _OTHER_ENTITY = (
@@ -43,9 +45,9 @@ def _code_point(number: Column) -> Column:
     ).otherwise("\ufffd")
 
 
-def _decode_rare(text: Column) -> Column:
-    """Numeric and less common named entities, piece by piece after each ``&``."""
-    pairs = "\n".join(f"{n}\t{chr(cp)}" for n, cp in name2codepoint.items() if n != "amp")
+def _decode_each(text: Column, bare_amp: str) -> Column:
+    """Every reference once, left to right, piece by piece after each ``&``."""
+    pairs = "\n".join(f"{n}\t{chr(cp)}" for n, cp in name2codepoint.items())
     names = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
 
     def one(piece: Column) -> Column:
@@ -72,7 +74,7 @@ def _decode_rare(text: Column) -> Column:
                 named.isNotNull(),
                 F.concat(named, F.regexp_replace(piece, r"^[A-Za-z][A-Za-z0-9]*;", "")),
             )
-            .otherwise(F.concat(F.lit("&"), piece))
+            .otherwise(F.concat(F.lit("&"), F.regexp_replace(piece, bare_amp, "")))
         )
 
     def join(pieces: Column) -> Column:
@@ -82,17 +84,25 @@ def _decode_rare(text: Column) -> Column:
     return bind(F.split(text, "&"), join)
 
 
-def decode_entities(text: Column, origin: Column | None = None) -> Column:
-    """Replace character references, ``&amp;`` last.
+def decode_entities(
+    text: Column, origin: Column | None = None, attribute: bool = False
+) -> Column:
+    """Replace each character reference once.
 
+    Inside an ``attribute``, ``amp`` without a semicolon is a reference only
+    when no letter, digit or ``=`` follows, so that addresses stay whole.
     ``origin`` is the raw column ``text`` was cut from. Looking there whether
     the slow way is needed saves working out ``text`` twice.
     """
+    bare = r"^amp(?![;A-Za-z0-9=])" if attribute else r"^amp(?!;)"
+    # No name in the short list can arise from another one's character, as long
+    # as the ampersand comes last.
+    short = text
     for entity, char in _COMMON.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        short = F.replace(short, F.lit(entity), F.lit(char))
+    short = F.regexp_replace(short, f"&amp;|&{bare[1:]}", "&")
     rare = (text if origin is None else origin).rlike(_OTHER_ENTITY)
-    text = F.when(rare, _decode_rare(text)).otherwise(text)
-    return F.regexp_replace(text, "&amp;?", "&")
+    return F.when(rare, _decode_each(text, bare)).otherwise(short)
 
 
 def _squeeze(text: Column) -> Column:
@@ -106,7 +116,7 @@ def without_unseen(html: Column) -> Column:
 
 def body_text(html: Column) -> Column:
     """Visible body text with single spaces; empty for a null page."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN_OR_HEAD, "")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN_OR_TITLE, "")
     text = F.regexp_replace(text, rf"(?i)</?({INLINE_TAGS})(\s[^>]*)?>", "")
     text = F.regexp_replace(text, "<[^>]*>", " ")
     return _squeeze(decode_entities(text, F.coalesce(html, F.lit(""))))
@@ -126,7 +136,7 @@ def hrefs(html: Column) -> Column:
     )
     bare = F.transform(found, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
     return F.transform(
-        bare, lambda h: F.when(h.contains("&"), decode_entities(h)).otherwise(h)
+        bare, lambda h: F.when(h.contains("&"), decode_entities(h, attribute=True)).otherwise(h)
     )
 
 

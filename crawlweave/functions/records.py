@@ -19,6 +19,8 @@ MSG_INVALID = "Invalid URL format: "
 MSG_IO = "Failed to check accessibility: "
 MSG_MINIMAL = "Page contains minimal or no usable content/links: "
 MSG_STOPPED = "Manually stopped by user"
+# Not a fixed value: requests come with their id here.
+MSG_NO_ID = "Request without crawl id: "
 
 
 def int_or_zero(c: Column) -> Column:
@@ -80,11 +82,6 @@ def access_message(
     )
 
 
-def has_content(text_length: Column, n_links: Column) -> Column:
-    """Enough text, or at least one link to follow."""
-    return (text_length >= MIN_TEXT) | (n_links > 0)
-
-
 def known_stop_reason(name: Column) -> Column:
     """The name if it is a stop reason, else null."""
     return F.when(name.isin(*STOP_REASONS), name)

@@ -6,8 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a token is, and the cut of a text into passages.
-TOKEN = r"[\p{L}\p{N}]+"
-PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+# A word keeps its combining marks; ideographs and hiragana are words one by one,
+# katakana by the run, as scripts without spaces have no other words to find.
+_ALONE = r"\p{IsHan}\p{IsHiragana}"
+_SPACELESS = _ALONE + r"\p{IsKatakana}\u30FC"
+TOKEN = (
+    rf"[\p{{L}}\p{{N}}&&[^{_SPACELESS}]][\p{{L}}\p{{N}}\p{{M}}&&[^{_SPACELESS}]]*"
+    rf"|[{_ALONE}]\p{{M}}*|[\p{{IsKatakana}}\u30FC][\p{{IsKatakana}}\u30FC\p{{M}}]*"
+)
+PIECE = TOKEN + r"|[^\p{L}\p{N}]+"
 PASSAGE = r"(?s)[^.!?]{1,100}[.!?]+(?:\s+|$)|.{1,100}(?:\s+|$)|.{1,100}"
 PRE_TAG = "<em>"
 POST_TAG = "</em>"

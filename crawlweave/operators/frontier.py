@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlweave.functions import records
-from crawlweave.operators.ordering import FEW_ROWS, running_before
+from crawlweave.operators.ordering import running_before
 from crawlweave.schemas import INHERITED
 
+#: Positions lie below this.
+_PLACE = 1 << 62
+
 
 def without_stopped(frontier: DataFrame, control: DataFrame) -> DataFrame:
     """Drop records of crawls that have been stopped."""
@@ -57,12 +59,16 @@ def child_records(parents: DataFrame, links: DataFrame) -> DataFrame:
 def claim_first(candidates: DataFrame) -> DataFrame:
     """Each URL once per crawl, for the first parent and position that names it.
 
-    A minimum over a pair combines on the map side, so the page every other
-    page links to does not gather its links in one task.
+    A minimum combines on the map side, so the page every other page links to
+    does not gather its links in one task. Parent and position are packed into
+    one number, which a hash aggregate can keep in place.
     """
-    first = F.min(F.struct("parent_seq", "pos"))
-    return candidates.groupBy("crawl_id", "url").agg(first.alias("_c")).select(
-        "crawl_id", "url", "_c.parent_seq", "_c.pos"
+    both = F.expr(f"CAST(CAST(parent_seq AS DECIMAL(38,0)) * {_PLACE} + pos AS DECIMAL(38,0))")
+    return candidates.groupBy("crawl_id", "url").agg(F.min(both).alias("_c")).select(
+        "crawl_id",
+        "url",
+        F.expr(f"CAST(_c DIV {_PLACE} AS BIGINT)").alias("parent_seq"),
+        F.expr(f"CAST(_c % {_PLACE} AS BIGINT)").alias("pos"),
     )
 
 
@@ -70,14 +76,8 @@ def not_visited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     return candidates.join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
 
 
-def number_claims(claims: DataFrame, rows: int | None = None) -> DataFrame:
-    """Add ``nth``: the place of each claim in its crawl by parent, then position.
-
-    ``rows``, if known, is the number of claims.
-    """
-    if rows is not None and rows <= FEW_ROWS:
-        order = W.partitionBy("crawl_id").orderBy("parent_seq", "pos")
-        return claims.withColumn("nth", (F.row_number().over(order) - 1).cast("bigint"))
+def number_claims(claims: DataFrame) -> DataFrame:
+    """Add ``nth``: the place of each claim in its crawl by parent, then position."""
     within = running_before(claims, ["crawl_id", "parent_seq"], "pos", F.lit(1), "_within")
     per_parent = claims.groupBy("crawl_id", "parent_seq").agg(F.count("*").alias("_n"))
     offsets = running_before(per_parent, ["crawl_id"], "parent_seq", F.col("_n"), "_offset")
@@ -88,9 +88,9 @@ def number_claims(claims: DataFrame, rows: int | None = None) -> DataFrame:
     )
 
 
-def running_visited(log: DataFrame, new: Column, rows: int | None = None) -> DataFrame:
+def running_visited(log: DataFrame, new: Column) -> DataFrame:
     """Add ``before``: how many URLs the crawl had found when the record came up."""
-    return running_before(log, ["crawl_id"], "seq", new, "before", rows)
+    return running_before(log, ["crawl_id"], "seq", new, "before")
 
 
 def limit_links(links: DataFrame) -> DataFrame:

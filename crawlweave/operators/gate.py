@@ -26,17 +26,24 @@ def split_by_content(
 ) -> tuple[DataFrame, DataFrame]:
     """Records worth indexing, and those with neither text nor links.
 
-    Only records short of text are looked up in ``links``.
+    Only records short of text are looked up in ``links``, by an inner join, so
+    that a few of them are broadcast to the links and not the other way round.
+    A record is known by its page and base URL.
     """
     thin = fetched.where(F.col("text_length") < records.MIN_TEXT)
     rich = fetched.where(F.col("text_length") >= records.MIN_TEXT)
-    l = links.select(F.col("page_id").alias("_pid"), "dst_url")
-    followed = (F.col("page_id") == F.col("_pid")) & in_scope(
-        F.col("dst_url"), F.col("base_url"), scope
+    asked = thin.select(F.col("page_id").alias("_pid"), F.col("base_url").alias("_base"))
+    linked = (
+        links.select("page_id", "dst_url")
+        .join(asked, F.col("page_id") == F.col("_pid"))
+        .where(in_scope(F.col("dst_url"), F.col("_base"), scope))
+        .select("_pid", "_base")
+        .distinct()
     )
+    own = (F.col("page_id") == F.col("_pid")) & F.col("base_url").eqNullSafe(F.col("_base"))
     return (
-        rich.unionByName(thin.join(l, followed, "left_semi")),
-        thin.join(l, followed, "left_anti"),
+        rich.unionByName(thin.join(linked, own, "left_semi")),
+        thin.join(linked, own, "left_anti"),
     )
 
 

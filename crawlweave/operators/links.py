@@ -17,40 +17,23 @@ def _link_base() -> Column:
 
 
 def page_hrefs(pages: DataFrame) -> DataFrame:
-    """Every anchor's href by position, as written, with its page's ``base`` parts."""
-    return (
-        pages.select(
-            "page_id",
-            "url",
-            html.hrefs(F.col("html")).alias("hrefs"),
-            html.base_href(F.col("html")).alias("_declared"),
-        )
-        .where(F.size("hrefs") > 0)
-        .select(
-            "page_id", F.col("url").alias("src_url"), _link_base().alias("base"), "hrefs"
-        )
-        .select("page_id", "src_url", "base", F.posexplode("hrefs").alias("_pos", "href"))
-        .select("page_id", "src_url", "base", F.col("_pos").cast("bigint").alias("pos"), "href")
-    )
-
-
-def resolve_hrefs(links: DataFrame) -> DataFrame:
-    """Absolute target of each link; those that do not resolve are dropped."""
-    return (
-        links.withColumn("dst_url", urls.resolve(F.col("base"), F.col("href")))
-        .where(F.col("dst_url").isNotNull())
-        .drop("base", "href")
-    )
+    """Every anchor's href by position, as written."""
+    return pages.select(
+        "page_id",
+        F.col("url").alias("src_url"),
+        F.posexplode(html.hrefs(F.col("html"))).alias("_pos", "href"),
+    ).select("page_id", "src_url", F.col("_pos").cast("bigint").alias("pos"), "href")
 
 
-def _with_anchors(pages: DataFrame) -> DataFrame:
+def with_anchors(pages: DataFrame) -> DataFrame:
+    """Pages with ``_hrefs`` as written and the parts they are relative to."""
     return pages.withColumns(
         {"_hrefs": html.hrefs(F.col("html")), "_declared": html.base_href(F.col("html"))}
     ).withColumn("_base", _link_base())
 
 
 def _resolved() -> Column:
-    """The links of a row of ``_with_anchors`` that resolve: ``(pos, dst_url)``."""
+    """The links of a row of ``with_anchors`` that resolve: ``(pos, dst_url)``."""
     every = F.transform(
         "_hrefs",
         lambda h, i: F.struct(
@@ -62,7 +45,7 @@ def _resolved() -> Column:
 
 def with_links(pages: DataFrame) -> DataFrame:
     """Pages with ``links``, the array of ``(pos, dst_url)`` that resolve."""
-    return _with_anchors(pages).select(*pages.columns, _resolved().alias("links"))
+    return with_anchors(pages).select(*pages.columns, _resolved().alias("links"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -71,7 +54,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     Resolving inside the explode does each link once: no filter on the result
     can pull the work in front of it.
     """
-    anchored = _with_anchors(pages.select("page_id", "url", "html"))
+    return inline_links(with_anchors(pages.select("page_id", "url", "html")))
+
+
+def inline_links(anchored: DataFrame) -> DataFrame:
+    """Rows of ``with_anchors`` to ``(page_id, src_url, pos, dst_url)``."""
     return anchored.select("page_id", F.col("url").alias("src_url"), F.inline(_resolved()))
 
 

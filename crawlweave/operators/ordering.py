@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 BLOCK_BITS = 12
 
-#: Up to this many rows in all, a plain window is no burden to its task.
-FEW_ROWS = 1 << 18
-
 
 def running_before(
     df: DataFrame,
@@ -26,36 +23,32 @@ def running_before(
     order: str,
     value: Column,
     out: str,
-    rows: int | None = None,
     levels: int = 2,
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows of the group that come earlier.
 
-    ``order`` is a bigint, unique within the group; ``group`` is never null.
-    ``df`` is read twice, so it should be a table or cheap to derive. With a
-    known small number of ``rows`` one window over the group does.
+    ``order`` is a bigint, unique within the group; a null group is a group.
+    ``df`` is read twice, so it should be a table or cheap to derive.
     """
     group = list(group)
-    if rows is not None and rows <= FEW_ROWS:
-        before = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(
-            out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint")
-        )
     block, total, base = f"_block{levels}", f"_total{levels}", f"_base{levels}"
     marked = df.withColumn(block, F.shiftright(F.col(order), bits))
     keys = [*group, block]
     totals = marked.groupBy(*keys).agg(F.sum(value).alias(total))
     if levels > 1:
-        totals = running_before(totals, group, block, F.col(total), base, None, levels - 1, bits)
+        totals = running_before(totals, group, block, F.col(total), base, levels - 1, bits)
     else:
         earlier = W.partitionBy(*group).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
         totals = totals.withColumn(base, F.coalesce(F.sum(total).over(earlier), F.lit(0)))
     within = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value).over(within), F.lit(0))
+    named = {k: f"_of_{k}" for k in keys}
+    bases = totals.select(*[F.col(k).alias(v) for k, v in named.items()], base)
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
     return (
         marked.withColumn("_local", local)
-        .join(totals.select(*keys, base), keys)
+        .join(bases, same)
         .withColumn(out, (F.col(base) + F.col("_local")).cast("bigint"))
-        .drop(block, "_local", base)
+        .drop(block, "_local", base, *named.values())
     )

@@ -42,8 +42,13 @@ def status_latest(log: DataFrame) -> DataFrame:
     )
 
 
-def status_view(crawls: DataFrame, status: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per crawl asked for, with the live page count; zeros when unknown."""
+def status_view(
+    crawls: DataFrame, status: DataFrame, counts: DataFrame, now: Column
+) -> DataFrame:
+    """One row per crawl asked for, with the live page count.
+
+    An unknown crawl has zeros and starts ``now``.
+    """
     known = records.known_stop_reason(F.col("stop_reason"))
     return (
         crawls.select("crawl_id")
@@ -52,7 +57,7 @@ def status_view(crawls: DataFrame, status: DataFrame, counts: DataFrame) -> Data
         .select(
             "crawl_id",
             F.coalesce("distance", F.lit(0)).alias("distance"),
-            "start_time",
+            F.coalesce("start_time", now).alias("start_time"),
             F.coalesce("num_pages", F.lit(0)).cast("bigint").alias("num_pages"),
             known.alias("stop_reason"),
             "error_message",

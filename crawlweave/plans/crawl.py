@@ -9,6 +9,7 @@ order and URL budgets a matter of comparing numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,13 @@ from crawlweave.operators import gate
 from crawlweave.operators.links import explode_links, in_scope, with_links
 from crawlweave.operators.ordering import running_before
 from crawlweave.schemas import INHERITED
-from crawlweave.sources.pages import cap_body, latest_by_url
-from crawlweave.sources.requests import rejected_requests, seed_records
+from crawlweave.sources.pages import cap_body, fetch, latest_by_url
+from crawlweave.sources.requests import normalize_requests, rejected_requests, seed_records
 from crawlweave.workspace import Workspace
 
+#: Stop signals, or a function that reads them anew.
+Control = DataFrame | Callable[[], DataFrame]
+
 _FACT_COLUMNS = ["text_length", "status_code", "robots_txt"]
 
 
@@ -51,6 +55,7 @@ def take_snapshot(pages: DataFrame, ws: Workspace) -> Snapshot:
     ``status_code`` and ``robots_txt`` are optional; a page without a status
     was fetched without error.
     """
+    ws = ws.child("snapshot")
     if "status_code" not in pages.columns:
         pages = pages.withColumn("status_code", F.lit(200))
     if "robots_txt" not in pages.columns:
@@ -78,34 +83,50 @@ def crawl(
     snapshot: Snapshot,
     ws: Workspace,
     now: Column,
-    control: DataFrame | None = None,
+    control: Control | None = None,
     budget: str = "discovered",
     scope: str = "prefix",
+    normalize: bool = True,
 ) -> CrawlResult:
     """Run all ``requests`` to the end of their budgets.
 
+    Addresses are normalised first, unless told otherwise. Stop signals
+    (``crawl_id, stopped_at, reason``) are looked up again at every level; pass
+    a function to have them read anew each time.
+
     ``budget="discovered"`` counts a URL against ``max_urls`` when it is first
     seen, so known but unfetched URLs use up the budget; ``"fetched"`` counts
     pages read. ``now`` is the clock for deadlines and stop signals.
     """
     if budget not in ("discovered", "fetched"):
         raise ValueError(f"unknown budget {budget!r}")
-    seeds = seed_records(requests).withColumn("stopped", F.lit(False))
-    if control is not None:
-        up = control.where(F.col("stopped_at") <= now).select("crawl_id").distinct()
-        seeds = (
-            seeds.drop("stopped")
-            .join(up.withColumn("_up", F.lit(True)), "crawl_id", "left")
-            .withColumn("stopped", F.coalesce("_up", F.lit(False)))
-            .drop("_up")
-        )
-    columns = ["crawl_id", "seq", "url", "distance", *INHERITED, "stopped"]
-    frontier = _add_to_frontier(seeds.select(columns), ws, "overwrite")
+    ws = ws.child("crawl")
+    if normalize:
+        requests = normalize_requests(requests)
+    columns = ["crawl_id", "seq", "url", "distance", *INHERITED]
+    frontier = _add_to_frontier(seed_records(requests).select(columns), ws, "overwrite")
     level = 0
-    while rows := frontier.where(F.col("distance") == level).count():
-        frontier = _run_level(level, frontier, rows, columns, snapshot, ws, now, budget, scope)
+    # The first level runs even when no request is valid, and leaves empty tables.
+    while level == 0 or not frontier.where(F.col("distance") == level).isEmpty():
+        signals = _signals(control, now, ws, level)
+        frontier = _run_level(level, frontier, signals, columns, snapshot, ws, now, budget, scope)
         level += 1
-    return _collect_result(requests, snapshot, frontier, ws, scope)
+    return _collect_result(
+        requests, snapshot, frontier, ws, scope, now, _signals(control, now, ws, level)
+    )
+
+
+def _signals(control: Control | None, now: Column, ws: Workspace, level: int) -> DataFrame | None:
+    """The first signal of each crawl stopped by now, as a table of its own."""
+    if control is None:
+        return None
+    rows = control() if callable(control) else control
+    first = F.min_by(F.struct("stopped_at", "reason"), "stopped_at")
+    up = rows.where(F.col("crawl_id").isNotNull() & (F.col("stopped_at") <= now))
+    return ws.save(
+        up.groupBy("crawl_id").agg(first.alias("_c")).select("crawl_id", "_c.*"),
+        f"signals-{level}",
+    )
 
 
 def _add_to_frontier(records: DataFrame, ws: Workspace, mode: str) -> DataFrame:
@@ -117,7 +138,7 @@ def _add_to_frontier(records: DataFrame, ws: Workspace, mode: str) -> DataFrame:
 def _run_level(
     level: int,
     frontier: DataFrame,
-    rows: int,
+    signals: DataFrame | None,
     columns: list[str],
     snapshot: Snapshot,
     ws: Workspace,
@@ -126,7 +147,15 @@ def _run_level(
     scope: str,
 ) -> DataFrame:
     current = frontier.where(F.col("distance") == level)
-    found = gate.with_access(current.join(snapshot.facts, "url", "left"))
+    fetched = fetch(current, snapshot.facts)
+    if signals is None:
+        fetched = fetched.withColumn("stopped", F.lit(False))
+    else:
+        up = signals.select("crawl_id", F.lit(True).alias("_up"))
+        fetched = fetched.join(up, "crawl_id", "left").withColumn(
+            "stopped", F.coalesce("_up", F.lit(False))
+        )
+    found = gate.with_access(fetched)
     static_stop = records.stop_reason(
         F.col("distance"),
         F.col("max_distance"),
@@ -141,6 +170,7 @@ def _run_level(
     able = ws.save(
         found.select(
             *columns,
+            "stopped",
             "page_id",
             "text_length",
             "accessible",
@@ -173,12 +203,12 @@ def _run_level(
     if budget == "fetched":
         log = _with_fetched_so_far(log, level, ws)
         got = F.col("able").cast("bigint")
-        log = running_before(log, ["crawl_id"], "seq", got, "_got", rows)
+        log = running_before(log, ["crawl_id"], "seq", got, "_got")
         counted = F.col("fetched_so_far") + F.col("_got")
     else:
         # The seed counts only once it is processed.
         start = F.lit(0) if level == 0 else F.col("known")
-        log = steps.running_visited(log, F.col("new_urls"), rows)
+        log = steps.running_visited(log, F.col("new_urls"))
         counted = start + F.col("before")
     reason = records.stop_reason(
         F.col("distance"),
@@ -206,9 +236,9 @@ def _run_level(
     )
 
     parent = done.where("fetched").select(
-        "crawl_id", F.col("seq").alias("parent_seq"), "known", "distance", *INHERITED, "stopped"
+        "crawl_id", F.col("seq").alias("parent_seq"), "known", "distance", *INHERITED
     )
-    numbered = steps.number_claims(claims, claims.count()).join(parent, ["crawl_id", "parent_seq"])
+    numbered = steps.number_claims(claims).join(parent, ["crawl_id", "parent_seq"])
     seq = F.col("known") + F.col("nth")
     children = numbered.withColumn("seq", seq).withColumn("distance", F.col("distance") + 1)
     if budget == "discovered":
@@ -227,7 +257,13 @@ def _with_fetched_so_far(log: DataFrame, level: int, ws: Workspace) -> DataFrame
 
 
 def _collect_result(
-    requests: DataFrame, snapshot: Snapshot, frontier: DataFrame, ws: Workspace, scope: str
+    requests: DataFrame,
+    snapshot: Snapshot,
+    frontier: DataFrame,
+    ws: Workspace,
+    scope: str,
+    now: Column,
+    signals: DataFrame | None,
 ) -> CrawlResult:
     log = ws.load("records")
     seen_seed = log.where("fetched").select("crawl_id", "seq")
@@ -238,6 +274,9 @@ def _collect_result(
 
     fetched = log.where("fetched")
     worth, minimal = gate.split_by_content(fetched, snapshot.links, scope)
+    # Both are asked for more than once; the links are read for them once.
+    minimal = ws.save(minimal, "minimal")
+    worth = ws.save(worth, "worth")
     docs = (
         worth.select("crawl_id", "url", "base_url", "distance", "page_id")
         .join(snapshot.texts.select("page_id", "title", "content"), "page_id")
@@ -253,8 +292,9 @@ def _collect_result(
     )
     minimal_message = F.concat(F.lit(records.MSG_MINIMAL), F.col("url"))
     unreachable = log.where(F.col("stop_reason").isNull() & ~F.col("accessible"))
+    rejected = rejected_requests(requests)
     errors = (
-        rejected_requests(requests)
+        rejected
         .unionByName(gate.error_rows(unreachable, F.col("message")))
         .unionByName(gate.error_rows(minimal, minimal_message))
     )
@@ -294,7 +334,51 @@ def _collect_result(
             "_l.error_message",
         )
     )
-    return CrawlResult(visited, log, docs, errors, status)
+    return CrawlResult(
+        visited, log, docs, errors, _whole_status(status, requests, rejected, now, signals)
+    )
+
+
+def _whole_status(
+    status: DataFrame,
+    requests: DataFrame,
+    rejected: DataFrame,
+    now: Column,
+    signals: DataFrame | None,
+) -> DataFrame:
+    """Every crawl's row: rejected requests keep the zero row they began with."""
+    began = requests.groupBy("crawl_id").agg(F.min("requested_at").alias("start_time"))
+    refused = (
+        rejected.where(F.col("crawl_id").isNotNull())
+        .groupBy("crawl_id")
+        .agg(F.max("message").alias("error_message"))
+        .join(status.select("crawl_id"), "crawl_id", "left_anti")
+        .join(began, "crawl_id")
+        .select(
+            "crawl_id",
+            F.lit(0).alias("distance"),
+            "start_time",
+            F.lit(0).cast("bigint").alias("num_pages"),
+            F.lit("userInitiated").alias("stop_reason"),
+            "error_message",
+        )
+    )
+    whole = status.unionByName(refused).withColumn("last_modified", now)
+    if signals is None:
+        return whole
+    told = F.coalesce("stop_reason", F.lit("userInitiated")) == "userInitiated"
+    hit = F.col("stopped_at").isNotNull() & told & F.col("error_message").isNull()
+    return whole.join(signals, "crawl_id", "left").select(
+        "crawl_id",
+        "distance",
+        "start_time",
+        "num_pages",
+        F.when(hit, "userInitiated").otherwise(F.col("stop_reason")).alias("stop_reason"),
+        F.when(hit, F.coalesce("reason", F.lit(records.MSG_STOPPED)))
+        .otherwise(F.col("error_message"))
+        .alias("error_message"),
+        "last_modified",
+    )
 
 
 def expand(
@@ -305,6 +389,7 @@ def expand(
     ``(node, distance)``, each node once at its least distance. Ends when a
     level finds nothing new, so cycles are no matter.
     """
+    ws = ws.child("expand")
     level = ws.save(seeds.select("node").distinct(), "level-0")
     distance = 0
     reached = _reach(level, distance, ws, "overwrite")

@@ -44,6 +44,7 @@ def build_index(docs: DataFrame, ws: Workspace) -> SearchIndex:
     One shuffle moves the documents to their buckets; counting terms then
     needs none. ``doc_id`` is unique, so buckets are even.
     """
+    ws = ws.child("index")
     stored = ws.save_bucketed(
         ranking.with_url_flags(docs), "docs", ["doc_id"], sort=["doc_id"]
     )
@@ -72,6 +73,7 @@ def search(
 
     Ranking works on addresses and flags; texts are read for the results only.
     """
+    ws = ws.child("search")
     best = ws.save(top_scored(index, queries, ws, boosts, hits), "hits")
     return _present(index, best, queries, ws, cap)
 
@@ -111,6 +113,7 @@ def top_scored(
     The weights are written first: their true size then decides whether they
     are broadcast to the postings or both sides are shuffled by term.
     """
+    ws = ws.child("scores")
     weights = ws.save(
         ranking.term_weights(ranking.query_terms(queries), index.terms, index.corpus), "weights"
     )
@@ -133,9 +136,11 @@ def search_one(
 ) -> DataFrame:
     """``search`` for one query string, reading only what it needs.
 
-    The query's own words and its at most ``hits`` document ids become literals:
-    scans of terms and postings skip row groups, scans of documents skip buckets.
+    The query's own words become literals, so scans of terms and postings skip
+    row groups; the hits are a written table, whose size Spark knows when it
+    joins them to the documents.
     """
+    ws = ws.child("search")
     queries = one_query(ws.spark, words)
     terms = queries.select(F.array_distinct(text.tokens(F.col("text")))).first()[0]
     among = F.col("term").isin(terms)
@@ -143,6 +148,4 @@ def search_one(
         index, postings=index.postings.where(among), terms=index.terms.where(among)
     )
     best = ws.save(top_scored(narrowed, queries, ws, boosts, hits), "hits")
-    ids = [row.doc_id for row in best.select("doc_id").collect()]
-    docs = index.docs.where(F.col("doc_id").isin(ids))
-    return _present(replace(index, docs=docs), best, queries, ws, cap)
+    return _present(index, best, queries, ws, cap)

@@ -34,5 +34,11 @@ def latest_by_url(pages: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier records with the page found at their URL, if any."""
-    return frontier.join(pages, "url", "left").withColumn("found", F.col("page_id").isNotNull())
+    """Frontier records with the page found at their URL, if any.
+
+    ``pages`` has one row per URL. Only the few it shares with the frontier go
+    on to the outer join: a small frontier is broadcast to the pages, which then
+    stay where they are.
+    """
+    hit = pages.join(frontier.select("url").distinct(), "url")
+    return frontier.join(hit, "url", "left").withColumn("found", F.col("page_id").isNotNull())

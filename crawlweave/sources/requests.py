@@ -41,8 +41,8 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
 
 
 def seed_records(requests: DataFrame) -> DataFrame:
-    """First frontier record of every crawl whose URL is valid."""
-    return requests.where(urls.is_valid(F.col("url"))).select(
+    """First frontier record of every crawl with an id and a valid URL."""
+    return requests.where(F.col("crawl_id").isNotNull() & urls.is_valid(F.col("url"))).select(
         "crawl_id",
         F.lit(0).cast("bigint").alias("seq"),
         "url",
@@ -57,9 +57,12 @@ def seed_records(requests: DataFrame) -> DataFrame:
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
     """Error rows for the crawls ``seed_records`` leaves out."""
-    bad = ~urls.is_valid(F.col("url"))
-    return requests.where(F.coalesce(bad, F.lit(True))).select(
+    bad = F.coalesce(~urls.is_valid(F.col("url")), F.lit(True))
+    shown = F.coalesce("url", F.lit(""))
+    return requests.where(bad | F.col("crawl_id").isNull()).select(
         "crawl_id",
         "url",
-        F.concat(F.lit(records.MSG_INVALID), F.coalesce("url", F.lit(""))).alias("message"),
+        F.when(bad, F.concat(F.lit(records.MSG_INVALID), shown))
+        .otherwise(F.concat(F.lit(records.MSG_NO_ID), shown))
+        .alias("message"),
     )

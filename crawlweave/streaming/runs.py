@@ -38,17 +38,29 @@ def _keep_state_on_disk(spark: SparkSession) -> None:
         spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
+#: Run what is there and end; pass another trigger to keep running.
+AVAILABLE_NOW = {"availableNow": True}
+
+
 def append_to_files(
-    stream: DataFrame, ws: Workspace, name: str, partition_by: tuple[str, ...] = ()
+    stream: DataFrame,
+    ws: Workspace,
+    name: str,
+    partition_by: tuple[str, ...] = (),
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Run what is available now into a Parquet table; exactly once."""
+    """Into the Parquet table ``name`` of ``ws``, exactly once.
+
+    Table and progress lie in the workspace: ``Workspace.named`` gives the same
+    one to a job that starts again, which then goes on where it stopped.
+    """
     _keep_state_on_disk(ws.spark)
     writer = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", ws.path(name))
         .option("checkpointLocation", ws.path(f"{name}-progress"))
-        .trigger(availableNow=True)
+        .trigger(**trigger)
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -61,8 +73,9 @@ def each_batch(
     name: str,
     change: Callable[[DataFrame], DataFrame] | None = None,
     mode: str = "append",
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Run what is available now, a folder per micro-batch.
+    """A folder per micro-batch under ``name``; it resumes like ``append_to_files``.
 
     A batch that is run again overwrites its own folder. ``change`` is applied
     to each batch when it runs, so tables it reads are as of then.
@@ -77,14 +90,57 @@ def each_batch(
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", ws.path(f"{name}-progress"))
         .foreachBatch(write)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def send_messages(
+    stream: DataFrame,
+    ws: Workspace,
+    name: str,
+    fmt: str,
+    options: dict[str, str],
+    trigger: dict = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Send the rows' ``value`` to a sink, the other end of ``message_stream``."""
+    return (
+        stream.select("value").writeStream.outputMode("append")
+        .format(fmt)
+        .options(**options)
+        .option("checkpointLocation", ws.path(f"{name}-progress"))
+        .trigger(**trigger)
         .start()
     )
 
 
 def latest_rows(ws: Workspace, name: str, keys: tuple[str, ...]) -> DataFrame:
-    """Newest row per key of a table written with ``each_batch`` in update mode."""
+    """Newest row per key of a table written with ``each_batch`` in update mode.
+
+    Batches folded by ``compact_rows`` come from its newest table.
+    """
     rows = ws.load(name)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    done = ws.compacted(name)
+    if done is not None:
+        number, base = done
+        rows = base.unionByName(rows.where(F.col("batch") > number).select(base.columns))
+    return _newest(rows, keys).drop("batch")
+
+
+def _newest(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    values = [c for c in rows.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "batch")
     return rows.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")
+
+
+def compact_rows(ws: Workspace, name: str, keys: tuple[str, ...], upto: int) -> None:
+    """Fold the batches up to ``upto``, all of them finished, into one table.
+
+    Later reads take it and the batches after it. Run it between micro-batches.
+    """
+    rows = ws.load(name)
+    done = ws.compacted(name)
+    if done is not None:
+        number, base = done
+        rows = base.unionByName(rows.where(F.col("batch") > number).select(base.columns))
+    ws.save(_newest(rows.where(F.col("batch") <= upto), keys), f"{name}-upto-{upto}")

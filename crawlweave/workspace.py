@@ -40,6 +40,13 @@ class Workspace:
         self.run_id = uuid.uuid4().hex[:12]
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/crawlweave/{self.run_id}"
         self._tables: list[str] = []
+        self._children: list[Workspace] = []
+
+    def child(self, name: str) -> Workspace:
+        """A fresh folder and table names of its own, for one call of a job."""
+        made = Workspace(self.spark, self.path(name))
+        self._children.append(made)
+        return made
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -100,7 +107,29 @@ class Workspace:
             self._tables.append(table)
         return self.spark.table(table)
 
-    def drop_tables(self) -> None:
-        """Forget the bucketed tables' catalog names; the files stay."""
+    @classmethod
+    def named(cls, spark: SparkSession, name: str, root: str | None = None) -> Workspace:
+        """The workspace of a job that can be started again under the same name."""
+        made = cls(spark, root)
+        made.run_id = name
+        made.root = f"{(root or shared_root(spark)).rstrip('/')}/crawlweave/{name}"
+        return made
+
+    def compacted(self, name: str) -> tuple[int, DataFrame] | None:
+        """The newest finished table of ``name`` folded up to a batch, and that batch."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        found = hadoop.Path(f"{self.path(name)}-upto-*/_SUCCESS")
+        files = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)
+        numbers = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in files or ()]
+        if not numbers:
+            return None
+        return max(numbers), self.load(f"{name}-upto-{max(numbers)}")
+
+    def clean(self) -> None:
+        """Remove the run's files and table names, once its results are consumed."""
+        while self._children:
+            self._children.pop().clean()
         while self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

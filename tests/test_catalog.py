@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from crawlweave import catalog
 from oracle import compare, connect
 
 FOLDER = os.environ.get("CATALOG_FOLDER", "/root/testdata/sf0.001")
@@ -15,10 +16,10 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
-    result = entry.queries()[name](spark, FOLDER)
-    ok, note = compare(result, con, entry.oracle_sql()[name])
+    result = catalog.QUERIES[name](spark, FOLDER)
+    ok, note = compare(result, con, catalog.ORACLES[name])
     assert ok, note
 
 

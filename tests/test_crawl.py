@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlweave import Workspace
 from crawlweave.plans import crawl as plan
+from crawlweave.sources.pages import fetch
 
 NOW = "2024-01-01 00:10:00"
 START = "2024-01-01 00:00:00"
@@ -20,8 +21,8 @@ def requests(spark, rows):
     return spark.createDataFrame(rows, REQ).withColumn("requested_at", F.to_timestamp(F.lit(START)))
 
 
-def run(spark, rows, pages, **options):
-    ws = Workspace(spark)
+def run(spark, rows, pages, ws=None, **options):
+    ws = ws or Workspace(spark)
     snap = plan.take_snapshot(spark.createDataFrame(pages, PAGES), ws)
     now = F.to_timestamp(F.lit(NOW))
     return plan.crawl(requests(spark, rows), snap, ws, now, **options)
@@ -81,11 +82,8 @@ def simulate(row, site, budget):
     return visited, fetched, docs, errors
 
 
-@pytest.mark.parametrize("few_rows", [1 << 18, -1])
 @pytest.mark.parametrize("budget", ["discovered", "fetched"])
-def test_same_as_queue(spark, monkeypatch, budget, few_rows):
-    monkeypatch.setattr("crawlweave.operators.ordering.FEW_ROWS", few_rows)
-    monkeypatch.setattr("crawlweave.operators.frontier.FEW_ROWS", few_rows)
+def test_same_as_queue(spark, budget):
     rows, pages, sites = random_sites(80)
     done = run(spark, rows, pages, budget=budget)
     visited = done.visited.orderBy("crawl_id", "seq").collect()
@@ -104,10 +102,8 @@ def test_same_as_queue(spark, monkeypatch, budget, few_rows):
         assert counts[cid] == len(want[0])
 
 
-def test_one_crawl_and_one_url_hold_most_rows(spark, monkeypatch):
+def test_one_crawl_and_one_url_hold_most_rows(spark):
     """A large site whose pages all link to the same pages, next to small ones."""
-    monkeypatch.setattr("crawlweave.operators.ordering.FEW_ROWS", -1)
-    monkeypatch.setattr("crawlweave.operators.frontier.FEW_ROWS", -1)
     base, n = "https://www.big.org/", 9000
     # Many snapshots of the root; only the last one links to the site's pages.
     pages = [(i, base, f"<body>{FILLER}</body>", 200, None) for i in range(500)]
@@ -149,16 +145,22 @@ def site_pages():
 
 def test_site_by_hand(spark):
     base = "https://www.t.org/"
-    done = run(spark, [("c", base, -1, 3600, 0), ("x", "www.no.org", 1, 1, 1)], site_pages())
+    rows = [("c", base, -1, 3600, 0), ("x", "www.no.org", 1, 1, 1), (None, base, 0, 1, 0)]
+    done = run(spark, rows, site_pages(), normalize=False)
     visited = [r.url[len(base):] for r in done.visited.orderBy("seq").collect()]
     assert visited == ["", "a", "b", "a#x", "c", "d", "?p=2", "e", "f", "g"]
     assert sorted(r.url[len(base):] for r in done.docs.collect()) == ["", "a", "b", "d", "g"]
     errors = {r.url: r.message for r in done.errors.collect()}
+    assert errors.pop(base) == f"Request without crawl id: {base}"
     assert set(errors) == {base + k for k in ("a#x", "c", "?p=2", "e", "f")} | {"www.no.org"}
     assert errors[base + "c"].startswith("Page contains minimal")
     assert errors[base + "e"].startswith("URL is not accessible")
     assert errors[base + "f"].startswith("Failed to check")
-    assert [r.crawl_id for r in done.status.collect()] == ["c"]
+    status = {r.crawl_id: r for r in done.status.collect()}
+    assert set(status) == {"c", "x"}
+    x = status["x"]
+    assert (x.distance, x.num_pages, x.stop_reason) == (0, 0, "userInitiated")
+    assert x.error_message == "Invalid URL format: www.no.org" and x.last_modified is not None
 
 
 def test_deadline_and_stop(spark):
@@ -168,8 +170,68 @@ def test_deadline_and_stop(spark):
         {"stopped_at": F.to_timestamp(F.lit(START)), "reason": F.lit("x")}
     )
     done = run(spark, rows, site_pages(), control=control)
-    got = {r.crawl_id: (r.stop_reason, r.num_pages) for r in done.status.collect()}
+    rows = done.status.collect()
+    got = {r.crawl_id: (r.stop_reason, r.num_pages) for r in rows}
     assert got == {"late": ("timeout", 0), "stopped": ("userInitiated", 0), "runs": ("maxDistance", 8)}
+    assert {r.crawl_id: r.error_message for r in rows}["stopped"] == "x"
+
+
+def test_all_requests_invalid(spark):
+    done = run(spark, [("a", "foo://x", 1, 1, 1)], site_pages(), normalize=False)
+    assert done.records.count() == done.visited.count() == done.docs.count() == 0
+    assert [r.message for r in done.errors.collect()] == ["Invalid URL format: foo://x"]
+    assert [r.stop_reason for r in done.status.collect()] == ["userInitiated"]
+
+
+def test_address_without_scheme(spark):
+    done = run(spark, [("a", "t.org/", 0, 3600, 0)], site_pages())
+    assert [r.url for r in done.docs.collect()] == ["https://www.t.org/"]
+
+
+def test_signal_during_the_crawl(spark):
+    base, calls = "https://www.t.org/", []
+
+    def control():
+        calls.append(1)
+        ids = ["c"] if len(calls) > 1 else []
+        return spark.createDataFrame([(i,) for i in ids], "crawl_id string").withColumns(
+            {"stopped_at": F.to_timestamp(F.lit(START)), "reason": F.lit(None).cast("string")}
+        )
+
+    done = run(spark, [("c", base, -1, 3600, 0)], site_pages(), control=control)
+    assert [r.url for r in done.docs.collect()] == [base]
+    status = done.status.first()
+    assert (status.stop_reason, status.error_message) == ("userInitiated", "Manually stopped by user")
+
+
+def test_one_workspace_for_all(spark, ws):
+    rows = [("c", "https://www.t.org/", -1, 3600, 0)]
+    done = [run(spark, rows, site_pages(), ws=ws) for _ in range(2)]
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "node int")
+    reached = [plan.expand(edges, seeds, ws, d) for d in (1, -1)]
+    assert [d.records.count() for d in done] == [done[0].records.count()] * 2
+    assert [d.docs.count() for d in done] == [5, 5]
+    assert [r.count() for r in reached] == [2, 3]
+
+
+def test_small_frontier_does_not_move_the_pages(spark, ws):
+    n = 200_000
+    facts = ws.save(
+        spark.range(n).select(
+            F.concat(F.lit("https://p.org/"), "id").alias("url"), F.col("id").alias("page_id"),
+            F.rpad(F.lit("x"), 60, "x").alias("robots_txt"),
+        ), "facts",
+    )
+    small = ws.save(facts.limit(5).select("url"), "small")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        got = fetch(small, facts)
+        assert got.where("found").count() == 5
+        text = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" in text and "Inner" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_expand_on_a_cycle(spark, ws):

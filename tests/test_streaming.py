@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from crawlweave.operators.status import status_latest, visited_count
 from crawlweave.streaming import crawls
-from crawlweave.streaming.runs import append_to_files, each_batch, file_stream, latest_rows
+from crawlweave import Workspace
+from crawlweave.streaming.runs import (
+    append_to_files,
+    compact_rows,
+    each_batch,
+    file_stream,
+    latest_rows,
+    message_stream,
+    send_messages,
+)
 
 
 def write_log(spark, ws, batches=3):
@@ -64,6 +73,37 @@ def test_resumes_without_repeating(spark, ws):
     assert ws.load("seen").count() == log.count() + 5
 
 
+def test_a_job_of_the_same_name_goes_on(spark, ws):
+    log, stream = write_log(spark, ws, batches=2)
+    for more in (0, 5):
+        job = Workspace.named(spark, f"job-{ws.run_id}")
+        extra = log.withColumn("seq", F.col("seq") + 1000).where(f"seq < {1000 + more}")
+        if more:
+            extra.coalesce(1).write.mode("append").parquet(ws.path("log"))
+        append_to_files(stream.select("seq"), job, "seen").awaitTermination()
+        assert job.load("seen").count() == job.load("seen").distinct().count() == log.count() + more
+
+
+def test_compacted_batches(spark, ws):
+    batch, stream = write_log(spark, ws)
+    each_batch(crawls.live_status(stream), ws, "s", mode="update").awaitTermination()
+    whole = latest_rows(ws, "s", ("crawl_id",)).collect()
+    for upto in (0, 1):
+        compact_rows(ws, "s", ("crawl_id",), upto)
+        assert ws.compacted("s")[0] == upto
+        assert sorted(map(str, latest_rows(ws, "s", ("crawl_id",)).collect())) == sorted(map(str, whole))
+
+
+def test_messages_out_and_in(spark, ws):
+    _, stream = write_log(spark, ws, batches=2)
+    out = stream.select(F.col("url").alias("value"))
+    options = {"path": ws.path("sent")}
+    send_messages(out, ws, "send", "text", options).awaitTermination()
+    back = message_stream(spark, "text", options)
+    append_to_files(back, ws, "back").awaitTermination()
+    assert ws.load("back").count() == ws.load("log").count()
+
+
 def test_stops_are_read_per_batch(spark, ws):
     batch, stream = write_log(spark, ws)
     stops = batch.where("crawl_id = 'c1'").select("crawl_id").distinct()

@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from crawlweave import Workspace
 from crawlweave.workspace import shared_root
@@ -30,6 +31,11 @@ def test_bucketed_tables_append_and_drop(spark):
     assert both.count() == 20
     plan = both.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
-    ws.drop_tables()
+    inner = ws.child("call")
+    inner.save(rows, "u")
+    assert inner.load("u").count() == 10 and inner.root != ws.child("call").root
+    ws.clean()
     assert not spark.catalog.tableExists(f"crawlweave_{ws.run_id}_t")
-    assert ws.load("t").count() == 20
+    for path in (ws.path("t"), inner.path("u")):
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(path)
