@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from crawlweave.workspace import Workspace
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    )
+#: Links per task; the tasks of a turn follow the size of the table.
+LINKS_PER_TASK = 250_000
+
+
+def _mark(edges: DataFrame) -> tuple[int, int | None]:
+    n, total = edges.agg(
+        F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    ).first()
+    return n, total
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -32,24 +37,30 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     mark, turn = _mark(edges), 0
     while True:
         turn += 1
+        tasks = 1 + mark[0] // LINKS_PER_TASK
+
+        def save(df: DataFrame, step: str, tasks: int = tasks, turn: int = turn) -> DataFrame:
+            return ws.save(df.coalesce(tasks), f"{name}_{turn}_{step}")
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ws.save(
+        least = save(
             both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")),
-            f"{name}_{turn}_up",
+            "up",
         )
-        large = ws.save(
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = save(
+            both.where("b > a").join(least, "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .distinct(),
-            f"{name}_{turn}_large",
+            "large",
         )
-        lowest = ws.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}_{turn}_down")
-        edges = ws.save(
+        lowest = save(large.groupBy("a").agg(F.min("b").alias("m")), "down")
+        edges = save(
             large.join(lowest, "a")
             .where("b != m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(lowest.select("a", F.col("m").alias("b")))
             .distinct(),
-            f"{name}_{turn}",
+            "small",
         )
         now = _mark(edges)
         if now == mark:

@@ -10,16 +10,19 @@ about once in 100,000; more similar pairs practically never.
 
 1. Documents with equal sets collapse to one representative.
 2. Keys are range-partitioned with the representative, so a key that a third of
-   them share spreads over many partitions; sorted runs give every bucket's
-   members and a leader.
-3. Each member is checked against the leader it shares most keys with, on full
-   sets. That links families in one step, without their pairs.
-4. Buckets whose members are not all linked yet are finished exactly: members
-   of different components are compared by signature in bounded blocks, and what
-   is within the distance is checked on full sets.
-
-No pair within a finished component is ever looked at, no bucket is cut, and
-nothing is left unchecked.
+   them share spreads over many partitions; sorted runs give the buckets that
+   have more than one member.
+3. The leader of a bucket is its member with most company over all its buckets,
+   as an original has among its edited copies. Each member is checked against
+   the leader it shares most keys with, on full sets. That links families in one
+   step, without their pairs.
+4. Buckets whose members are not all linked yet are finished exactly, in bounded
+   blocks that hold signatures and texts: members of different components that
+   are within the distance are checked on full sets there and then, each pair in
+   the first bucket it shares, and only links that join something new come out.
+
+No pair within a finished component is looked at, no bucket is cut, and nothing
+is left unchecked.
 
 Defined cases: a null text or one without words has an empty set, no links and
 is kept; fewer words than a shingle make one shingle; ids are whole numbers,
@@ -115,6 +118,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
+def first_slots(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """The first key that signature ``ours`` shares with each row of ``theirs``."""
+    same = (theirs == ours).reshape(len(theirs), PLACES // CHUNK, CHUNK)
+    differ = CHUNK - same.sum(axis=2)
+    chunk = np.argmax(differ <= 1, axis=1)
+    rows = np.arange(len(theirs))
+    left_out = np.where(differ[rows, chunk] == 0, 0, np.argmin(same[rows, chunk], axis=1))
+    return left_out * (PLACES // CHUNK) + chunk
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = chunk_keys(_matrix(batch.column("sig"))).view(np.int64)
@@ -123,50 +136,38 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(keys.reshape(-1)),
                 pa.array(np.repeat(batch.column("rep").to_numpy(), times)),
+                pa.array(np.tile(np.arange(times, dtype=np.int32), len(keys))),
             ],
-            ["key", "rep"],
+            ["key", "rep", "slot"],
         )
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted ``key, rep`` to ``key, rep, leader`` for keys with more than one row.
+    """Of sorted rows, those whose key has more than one.
 
     Rows of the first and the last key of the partition are all kept, since
     these keys may go on in the neighbouring partitions.
     """
-    open_key, leader, waiting, first_key = None, None, None, None
-
-    def emit(key, rep, lead):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array(lead)], ["key", "rep", "leader"])
-
+    first_key, held = None, None  # the last row so far, if it stands alone
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
-        if waiting is not None:
-            key, rep = np.r_[open_key, key], np.r_[waiting, rep]
-        goes_on = open_key is not None and key[0] == open_key
-        new = np.r_[not (goes_on and waiting is None), key[1:] != key[:-1]]
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column("key").to_numpy()
         if first_key is None:
-            first_key = key[0]
-        begins = np.flatnonzero(new)
-        lead = np.empty(len(key), np.int64)
-        run = np.cumsum(new) - 1
-        if len(begins):
-            lead[:] = rep[begins[np.maximum(run, 0)]]
-        lead[run < 0] = leader if leader is not None else 0
-        size = np.bincount(run[run >= 0], minlength=len(begins))
-        several = np.ones(len(key), bool)
-        several[run >= 0] = size[run[run >= 0]] > 1
-        several |= key == first_key
-        open_key, leader = key[-1], lead[-1]
-        waiting = None
-        if not several[-1]:
-            waiting = rep[-1]
-        if several.any():
-            yield emit(key[several], rep[several], lead[several])
-    if waiting is not None:
-        yield emit(np.array([open_key]), np.array([waiting]), np.array([waiting]))
+            first_key = last_key = key[0]
+        same = key[1:] == key[:-1]
+        several = np.r_[False, same] | np.r_[same, False] | (key == first_key) | (key == last_key)
+        if held is not None:
+            several[0] = key[0] == key[-1] or bool(same[0]) if len(same) else False
+        held = None if several[-1] else batch.slice(len(key) - 1)
+        last_key = key[-1] if several[-1] else None
+        out = batch.filter(pa.array(several))
+        if out.num_rows:
+            yield out
+    if held is not None:
+        yield held
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,14 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _check(k: int, percent: int):
     """Pairs whose full sets are similar enough."""
 
@@ -196,50 +205,94 @@ def _check(k: int, percent: int):
 
         for batch in batches:
             good = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = shingles(left), shingles(right)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            for left, right in zip(
+                batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True
+            ):
+                good.append(_similar(shingles(left), shingles(right), percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _finish(percent: int):
-    """Pairs of different components within the distance, cell by cell.
+class _Linked:
+    """Which components the links found in this task have joined."""
 
-    Rows come sorted by cell. In each cell the rows of the largest component
-    are compared with the others only.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(above, above)
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[max(x, y)] = min(x, y)
 
-    def pairs(root, rep, n, side, sig):
-        values, counts = np.unique(root, return_counts=True)
-        rest = np.flatnonzero(root != values[np.argmax(counts)])
-        for i in rest:
-            fits = (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            fits &= (side != side[i]) | (side == 2)
-            others = np.flatnonzero(fits)
-            if len(others):
-                far = (sig[others] != sig[i]).sum(axis=1)
-                for j in others[far <= DISTANCE]:
-                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+def _finish(k: int, percent: int):
+    """Links between components, cell by cell; rows come sorted by cell.
+
+    In each cell the rows of the largest component are compared with the others
+    only. A pair is looked at in the cell of the first key it shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grow, linked = zstandard.ZstdDecompressor(), _Linked()
         held: list[pa.RecordBatch] = []
 
+        def links(root, rep, n, side, slot, sig, texts) -> Iterator[tuple[int, int]]:
+            values, counts = np.unique(root, return_counts=True)
+            largest = values[np.argmax(counts)]
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in sets:
+                    raw = np.frombuffer(grow.decompress(texts[i].as_py()), np.uint8)
+                    sets[i] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+                return sets[i]
+
+            done = root == largest
+            todo = ~done
+            for i in np.flatnonzero(todo):
+                todo[i] = False
+                fits = (done | todo) & (root != root[i])
+                fits &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+                fits &= (side != side[i]) | (side == 2)
+                others = np.flatnonzero(fits)
+                if not len(others):
+                    continue
+                far = (sig[others] != sig[i]).sum(axis=1)
+                near = far <= DISTANCE
+                others, far = others[near], far[near]
+                mine = first_slots(sig[i], sig[others]) == slot
+                for j in others[mine][np.argsort(far[mine], kind="stable")]:
+                    x, y = linked.top(int(root[i])), linked.top(int(root[j]))
+                    if x != y and _similar(shingles(i), shingles(j), percent):
+                        linked.join(x, y)
+                        yield int(rep[i]), int(rep[j])
+
         def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not table.num_rows:
+                return
             table = table.combine_chunks()
             cell = table.column("cell").to_numpy()
-            root, rep, n, side = (table.column(c).to_numpy() for c in ("root", "rep", "n", "side"))
+            root, rep, n, side, slot = (
+                table.column(c).to_numpy() for c in ("root", "rep", "n", "side", "slot")
+            )
             sig = _matrix(table.column("sig").combine_chunks())
-            begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            found = set()
+            texts = table.column("packed").combine_chunks()
+            begins = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (slot[1:] != slot[:-1])])
+            found = []
             for lo, hi in zip(begins, [*begins[1:], len(cell)], strict=True):
                 s = slice(lo, hi)
-                found.update(pairs(root[s], rep[s], n[s], side[s], sig[s]))
+                if (root[s] != root[lo]).any():
+                    found += links(root[s], rep[s], n[s], side[s], slot[lo], sig[s], texts[lo:hi])
             if found:
                 a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
+                )
 
         for batch in batches:
             if not batch.num_rows:
@@ -299,37 +352,41 @@ def near_duplicates(
         F.col("rep").alias("a"), F.col("_id").alias("b")
     )
 
-    keys = reps.select("rep", "sig").mapInArrow(_index, "key bigint, rep bigint")
+    keys = reps.select("rep", "sig").mapInArrow(_index, "key bigint, rep bigint, slot int")
     buckets = ws.save(
         keys.repartitionByRange(width, "key", "rep")
         .sortWithinPartitions("key", "rep")
-        .mapInArrow(_buckets, "key bigint, rep bigint, leader bigint"),
+        .mapInArrow(_buckets, "key bigint, rep bigint, slot int"),
         "buckets",
     )
-    # A key cut by a partition's end has a leader on each side; these meet here.
-    heads = buckets.where("rep = leader").groupBy("key").agg(
-        F.min("leader").alias("head"), F.count("*").alias("n")
-    ).where("n > 1")
-    cut = buckets.where("rep = leader").join(heads.select("key", "head"), "key").where(
-        "leader != head"
-    ).select(F.col("head").alias("leader"), "rep")
-    stars = (
-        buckets.where("rep != leader").select("leader", "rep").unionByName(cut)
-        .groupBy("leader", "rep")
-        .agg(F.count("*").alias("shared"))
+    sizes = ws.save(
+        buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "sizes"
+    )
+    company = (
+        buckets.join(sizes, "key").groupBy("rep").agg(F.sum("members").alias("company"))
+        .join(reps.select("rep", "n"), "rep")
+    )
+    company = ws.save(company, "company")
+    several = ws.save(
+        buckets.select("key", "rep").join(company, "rep"), "several"
+    )
+    lead = several.groupBy("key").agg(F.max(F.struct("company", "rep", "n")).alias("l"))
+    lead = ws.save(
+        lead.select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("m")), "leaders"
     )
-    sizes = reps.select("rep", "n")
     best = (
-        stars.join(sizes, "rep")
-        .join(sizes.select(F.col("rep").alias("leader"), F.col("n").alias("m")), "leader")
+        several.join(lead, "key")
+        .where(F.col("rep") != F.col("leader"))
         .where(_near(F.col("n"), F.col("m"), percent))
+        .groupBy("rep", "leader")
+        .agg(F.count("*").alias("shared"))
         .groupBy("rep")
         .agg(F.max(F.struct("shared", "leader")).alias("s"))
         .select(F.col("s.leader").alias("a"), F.col("rep").alias("b"))
     )
     best = ws.save(best, "best")
 
-    needed = buckets.select("rep").distinct().join(reps.select("rep", "key"), "rep")
+    needed = company.select("rep").join(reps.select("rep", "key"), "rep")
     texts = rows.where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).mapInArrow(
         _pack_texts, "_id bigint, _key bigint, packed binary"
     )
@@ -343,9 +400,8 @@ def near_duplicates(
     roots = ws.save(components(links, ws, "stars"), "roots")
 
     placed = ws.save(
-        buckets.select("key", "rep")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", F.coalesce("root", "rep").alias("root")),
+        buckets.join(roots, F.col("rep") == F.col("node"), "left")
+        .select("key", "slot", "rep", F.coalesce("root", "rep").alias("root")),
         "placed",
     )
     open_keys = ws.save(
@@ -362,6 +418,7 @@ def near_duplicates(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+            "slot",
             "rep",
             "root",
             F.when(F.col("block") == F.col("other"), 2)
@@ -369,16 +426,14 @@ def near_duplicates(
             .otherwise(1)
             .alias("side"),
         )
-        .join(reps.select("rep", "n", "sig"), "rep")
+        .join(reps.select("rep", "n", "sig").join(sets, "rep"), "rep")
     )
-    rest = ws.save(
+    late = ws.save(
         cells.repartition(width, "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(_finish(percent), "a bigint, b bigint")
-        .distinct(),
-        "rest",
+        .sortWithinPartitions("cell", "slot")
+        .mapInArrow(_finish(shingle, percent), "a bigint, b bigint"),
+        "late",
     )
-    late = ws.save(_verified(rest, sets, shingle, percent), "late")
     whole = components(
         links.unionByName(late).unionByName(copies), ws, "all"
     ).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
