@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlweave.llm.rows import row_key, rows_back, slices, with_rest
 from crawlweave.workspace import Workspace
@@ -296,8 +297,8 @@ def _predict(model: Model):
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to rows with ``_text``."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(_predict(model), T.StructType([*rows.schema.fields, *added]))
 
 
 def held_out(id_col: str = "doc_id", of: int = 4, remainder: int = 2) -> Column:

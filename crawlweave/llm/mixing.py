@@ -164,8 +164,12 @@ def mix(
 
 
 def take_mix(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``."""
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
+
+    Columns of these names are replaced.
+    """
     added = ["size", "source_size", "target", "taken"]
+    docs = docs.drop(*added)
     mixed = mix(docs, ws, **options).where("taken > 0")
     one = mixed.groupBy("_id", "_key").agg(*[F.max(c).alias(f"_{c}") for c in added])
     both = join_keyed(with_rest(docs), one, "inner").withColumn(
