@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlweave.catalog.crawling import OPEN_SQL, open_crawl
 from crawlweave.catalog.registry import query, table
 from crawlweave.catalog.shapes import body_sql, title_sql
 from crawlweave.functions import text
@@ -199,6 +200,47 @@ def index_build(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "index_append",
+    f"""WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}
+    SELECT p.field, p.term, CAST(sum(p.tf) AS BIGINT) AS total_tf, t.df, c.n_docs, c.sum_dl
+    FROM postings p JOIN terms t ON t.field = p.field AND t.term = p.term
+    JOIN corpus c ON c.field = p.field GROUP BY ALL""",
+)
+def index_append(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the pages first, then all of them: the same as one build."""
+    docs = plan.page_docs(table(spark, folder, "pages"))
+    first = plan.build_index(docs.where(F.col("doc_id") % 3 == 0), Workspace(spark))
+    built = plan.add_documents(first, docs)
+    totals = built.postings.groupBy("field", "term").agg(F.sum("tf").alias("total_tf"))
+    return totals.join(built.terms, ["field", "term"]).join(
+        built.corpus.drop("avgdl"), "field"
+    )
+
+
+_CRAWL_DOCS_SQL = rf"""{OPEN_SQL},
+crawled AS (SELECT crawl_id, page_id AS pid, url FROM out1 WHERE message IS NULL),
+docs AS (SELECT CAST('0x' || substr(md5(c.crawl_id || chr(10) || c.url), 1, 15) AS BIGINT) AS doc_id,
+           c.url, {title_sql('s.html')} AS title, {body_sql('s.html')} AS content
+         FROM crawled c JOIN site_pages s ON s.page_id = c.pid
+         UNION ALL
+         SELECT CAST('0x' || substr(md5(crawl_id || chr(10) || crawl_id || '/'), 1, 15) AS BIGINT),
+           crawl_id || '/', 'Home', 'Pages of ' || crawl_id FROM sites)"""
+
+
+@query(
+    "crawl_search",
+    f"""WITH {_FIXED_QUERIES_SQL}, {_CRAWL_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
+    {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
+)
+def crawl_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Crawl all sites, index what came in, search it."""
+    ws = Workspace(spark)
+    docs = open_crawl(spark, folder).docs.select("doc_id", "url", "title", "content")
+    found = plan.search(plan.build_index(docs, ws), fixed_queries(spark), ws)
+    return found.select("query_id", "rank", "url", "snippet")
+
+
 @query(
     "bm25_topk",
     f"""WITH {_FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL}

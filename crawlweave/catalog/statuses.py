@@ -153,6 +153,17 @@ def status_view(spark: SparkSession, folder: str) -> DataFrame:
     return status_out(report).join(report.select("crawl_id", "num_pages"), "crawl_id")
 
 
+@query(
+    "status_unknown",
+    f"""WITH {_LATEST_SQL} SELECT crawl_id, f.s AS stop_reason FROM latest
+    WHERE f.s NOT IN ('maxDistance', 'maxUrls', 'timeout', 'userInitiated')""",
+)
+def status_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored reasons that are none of the known names are shown, not dropped."""
+    status = ops.status_latest(_log(spark, folder))
+    return ops.unknown_stop_reasons(status).select("crawl_id", "stop_reason")
+
+
 def _store(spark: SparkSession, folder: str) -> DataFrame:
     """Status store as JSON; every fifth user's text is damaged."""
     log = _log(spark, folder)

@@ -21,6 +21,7 @@ from crawlweave.operators import gate
 from crawlweave.operators.links import explode_links, in_scope, with_links
 from crawlweave.operators.ordering import running_before
 from crawlweave.schemas import INHERITED
+from crawlweave.sources.documents import doc_key
 from crawlweave.sources.pages import cap_body, fetch, latest_by_url
 from crawlweave.sources.requests import normalize_requests, rejected_requests, seed_records
 from crawlweave.workspace import Workspace
@@ -281,6 +282,7 @@ def _collect_result(
         worth.select("crawl_id", "url", "base_url", "distance", "page_id")
         .join(snapshot.texts.select("page_id", "title", "content"), "page_id")
         .select(
+            doc_key().alias("doc_id"),
             "crawl_id",
             "url",
             "base_url",

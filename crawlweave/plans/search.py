@@ -26,6 +26,7 @@ class SearchIndex:
     postings: DataFrame  # doc_id, field, term, tf, dl
     terms: DataFrame  # field, term, df
     corpus: DataFrame  # field, n_docs, sum_dl, avgdl
+    home: Workspace  # where the tables lie
 
 
 def page_docs(pages: DataFrame) -> DataFrame:
@@ -58,7 +59,49 @@ def build_index(docs: DataFrame, ws: Workspace) -> SearchIndex:
         "terms",
     )
     corpus = ws.save(idx.corpus_stats(postings).coalesce(1), "corpus")
-    return SearchIndex(stored, postings, terms, corpus)
+    return SearchIndex(stored, postings, terms, corpus, ws)
+
+
+def add_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
+    """The index with ``docs`` added; those it has already stay as they are.
+
+    Only the new documents are read: their rows join the buckets they belong to,
+    and their term and length counts are added to the old ones. ``index`` itself
+    goes on answering as before.
+    """
+    ws = index.home
+    batch = ws.child("added")
+    fresh = batch.save_bucketed(
+        ranking.with_url_flags(docs.dropDuplicates(["doc_id"])).join(
+            index.docs.select("doc_id"), "doc_id", "left_anti"
+        ),
+        "docs",
+        ["doc_id"],
+        sort=["doc_id"],
+    )
+    added = batch.save_bucketed(
+        idx.postings(fresh), "postings", ["doc_id"], sort=["field", "term"], placed=True
+    )
+    terms = (
+        index.terms.unionByName(idx.term_stats(added))
+        .groupBy("field", "term")
+        .agg(F.sum("df").alias("df"))
+    )
+    sums = (
+        index.corpus.drop("avgdl")
+        .unionByName(idx.corpus_stats(added).drop("avgdl"))
+        .groupBy("field")
+        .agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
+    )
+    return SearchIndex(
+        ws.save_bucketed(fresh, "docs", ["doc_id"], ["doc_id"], placed=True, mode="append"),
+        ws.save_bucketed(added, "postings", ["doc_id"], ["field", "term"], placed=True, mode="append"),
+        batch.save(
+            terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "terms"
+        ),
+        batch.save(sums.withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")).coalesce(1), "corpus"),
+        ws,
+    )
 
 
 def search(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: content type of an indexed page.
@@ -12,6 +12,12 @@ CONTENT_TYPE = "html"
 IDENTITY = ["url", "base_url", "content", "level", "content_type"]
 
 
+def doc_key() -> Column:
+    """A stable number for a page of a crawl, the first 60 bits of a digest."""
+    name = F.concat("crawl_id", F.lit("\n"), "url")
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
+
+
 def index_docs(fetched: DataFrame) -> DataFrame:
     """Documents from crawled records that carry ``title`` and ``content``.
 
@@ -19,7 +25,7 @@ def index_docs(fetched: DataFrame) -> DataFrame:
     crawl can be recognised.
     """
     return fetched.select(
-        F.xxhash64("crawl_id", "url").alias("doc_key"),
+        doc_key().alias("doc_key"),
         "crawl_id",
         "url",
         "base_url",

@@ -142,3 +142,33 @@ def test_zone_at_clock_changes(spark):
     ]
     same = dates.same_instant(F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz"))
     assert one(spark, same) is True
+
+
+@pytest.mark.parametrize(
+    "page, text, links",
+    [
+        ('<a href="/x?a=1&amplitude=2&amp;b=3&amp=4">t</a>', "t", ["/x?a=1&amplitude=2&b=3&amp=4"]),
+        ("<body>&#38;amp; &amp;lt; &lt; &amp x</body>", "&amp; &lt; < & x", []),
+        ("<body>seen<!-- not <a href='/x'>x</a>", "seen", []),
+        ("<body>seen<script>if (a < b) <a href='/x'>", "seen", []),
+        ("<head><title>t</title><body>b</body>", "b", []),
+    ],
+)
+def test_pages_that_are_not_well_formed(spark, page, text, links):
+    df = spark.createDataFrame([(page,)], "h string")
+    row = df.select(html.body_text(F.col("h")), html.hrefs(F.col("h"))).first()
+    assert (row[0], row[1]) == (text, links)
+
+
+def test_a_page_of_openers_ends(spark):
+    df = spark.range(1).select(F.repeat(F.lit("<!-- x <script "), 70_000).alias("h"))
+    assert df.select(html.body_text(F.col("h"))).first()[0] == ""
+    assert df.select(F.size(html.hrefs(F.col("h")))).first()[0] == 0
+
+
+def test_words_of_many_scripts(spark):
+    df = spark.createDataFrame([("東京都の天気 नमस्ते カタカナー abc1 ́x",)], "t string")
+    got = df.select(text.tokens(F.col("t"))).first()[0]
+    assert got == ["東", "京", "都", "の", "天", "気", "नमस्ते", "カタカナー", "abc1", "x"]
+    marked = df.select(text.mark(F.col("t"), F.array(F.lit("京"), F.lit("abc1")))).first()[0]
+    assert marked.startswith("東<em>京</em>都の") and "<em>abc1</em>" in marked

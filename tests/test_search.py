@@ -93,3 +93,28 @@ def test_no_shuffle_before_the_cut(spark, corpus):
     assert "WindowGroupLimit" in before_cut.splitlines()[1]
     counted = plan.idx.postings(index.docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in counted
+
+
+def test_added_documents(spark, ws, corpus):
+    rows, whole = corpus
+    schema = "doc_id bigint, url string, title string, content string"
+    start = plan.build_index(spark.createDataFrame(rows[:60], schema), ws)
+    grown = plan.add_documents(start, spark.createDataFrame(rows[40:100], schema))
+    grown = plan.add_documents(grown, spark.createDataFrame(rows, schema))
+    for name in ("docs", "postings", "terms"):
+        got, want = (
+            sorted(map(str, getattr(i, name).select(getattr(whole, name).columns).collect()))
+            for i in (grown, whole)
+        )
+        assert got == want, name
+    assert grown.corpus.count() == whole.corpus.count() == 2
+    found = [sorted(plan.search_one(i, "ab cd", ws).collect()) for i in (grown, whole)]
+    assert found[0] == found[1] and found[0]
+    assert start.docs.count() == 60
+
+
+def test_two_searches_in_one_workspace(spark, ws, corpus):
+    _, index = corpus
+    found = [plan.search_one(index, q, ws) for q in ("ab cd", "naïve")]
+    first, second = (f.collect() for f in found)
+    assert first and second and first != second
