@@ -66,8 +66,8 @@ def add_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
     """The index with ``docs`` added; those it has already stay as they are.
 
     Only the new documents are read: their rows join the buckets they belong to,
-    and their term and length counts are added to the old ones. ``index`` itself
-    goes on answering as before.
+    and their term and length counts are added to the old ones. The tables are
+    shared, so from then on only the index returned is to be used.
     """
     ws = index.home
     batch = ws.child("added")
