@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,23 @@ def index_of(spark: SparkSession, folder: str, name: str) -> plan.SearchIndex:
     return plan.build_index(docs, Workspace(spark))
 
 
+Search = Callable[[SparkSession, str, plan.SearchIndex], DataFrame]
+
+#: Searches by query name, with the table they search, for an index built before.
+SEARCHES: dict[str, tuple[str, Search]] = {}
+
+
+def searching(name: str, source: str, sql: str) -> Callable[[Search], Search]:
+    """Register a search as a query that builds the index first."""
+
+    def enter(f: Search) -> Search:
+        SEARCHES[name] = (source, f)
+        query(name, sql)(lambda spark, folder: f(spark, folder, index_of(spark, folder, source)))
+        return f
+
+    return enter
+
+
 def fixed_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_id bigint, text string")
 
@@ -241,45 +260,45 @@ def crawl_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", "url", "snippet")
 
 
-@query(
+@searching(
     "bm25_topk",
+    "pages",
     f"""WITH {_FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL}
     SELECT query_id, doc_id, score, hit FROM best""",
 )
-def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder, "pages")
+def bm25_topk(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
     return plan.top_scored(index, fixed_queries(spark), Workspace(spark))
 
 
-@query(
+@searching(
     "search_pages",
+    "pages",
     f"""WITH {_FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
     {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
 )
-def search_pages(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder, "pages")
+def search_pages(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
     found = plan.search(index, fixed_queries(spark), Workspace(spark))
     return found.select("query_id", "rank", "url", "snippet")
 
 
-@query(
+@searching(
     "search_batch",
+    "documents",
     f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
     {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
 )
-def search_batch(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder, "documents")
+def search_batch(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
     found = plan.search(index, item_queries(spark, folder), Workspace(spark))
     return found.select("query_id", "rank", "url", "snippet")
 
 
-@query(
+@searching(
     "rerank_tiers",
+    "documents",
     f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
     {_FLAGS_SQL} SELECT query_id, rank, tier, url FROM results""",
 )
-def rerank_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder, "documents")
+def rerank_tiers(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
     ws = Workspace(spark)
     best = ws.save(plan.top_scored(index, item_queries(spark, folder), ws), "hits")
     hits = best.join(index.docs.select("doc_id", "url", "homepage", "article"), "doc_id")

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own limit on the buckets of a table.
+MOST_BUCKETS = 100_000
+
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -92,6 +95,7 @@ class Workspace:
         same keys then line up with them, and one setting fits both to the data.
         """
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(buckets, MOST_BUCKETS)
         table = f"crawlweave_{self.run_id}_{name}"
         writer = (
             (df if placed else df.repartition(buckets, *keys))
