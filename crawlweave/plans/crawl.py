@@ -105,12 +105,16 @@ def crawl(
     if normalize:
         requests = normalize_requests(requests)
     columns = ["crawl_id", "seq", "url", "distance", *INHERITED]
-    frontier = _add_to_frontier(seed_records(requests).select(columns), ws, "overwrite")
+    seeds = seed_records(requests).select(columns)
+    buckets = ws.buckets_for(snapshot.facts.count())
+    frontier = _add_to_frontier(seeds, ws, buckets, "overwrite")
     level = 0
     # The first level runs even when no request is valid, and leaves empty tables.
     while level == 0 or not frontier.where(F.col("distance") == level).isEmpty():
         signals = _signals(control, now, ws, level)
-        frontier = _run_level(level, frontier, signals, columns, snapshot, ws, now, budget, scope)
+        frontier = _run_level(
+            level, frontier, signals, columns, snapshot, ws, buckets, now, budget, scope
+        )
         level += 1
     return _collect_result(
         requests, snapshot, frontier, ws, scope, now, _signals(control, now, ws, level)
@@ -130,10 +134,12 @@ def _signals(control: Control | None, now: Column, ws: Workspace, level: int) ->
     )
 
 
-def _add_to_frontier(records: DataFrame, ws: Workspace, mode: str) -> DataFrame:
+def _add_to_frontier(records: DataFrame, ws: Workspace, buckets: int, mode: str) -> DataFrame:
     """All records so far. Bucketed the way claims are grouped, so that checking
     claims against it moves none of it, however large it has grown."""
-    return ws.save_bucketed(records, "frontier", ["crawl_id", "url"], mode=mode)
+    return ws.save_bucketed(
+        records, "frontier", ["crawl_id", "url"], buckets=buckets, mode=mode
+    )
 
 
 def _run_level(
@@ -143,6 +149,7 @@ def _run_level(
     columns: list[str],
     snapshot: Snapshot,
     ws: Workspace,
+    buckets: int,
     now: Column,
     budget: str,
     scope: str,
@@ -244,7 +251,7 @@ def _run_level(
     children = numbered.withColumn("seq", seq).withColumn("distance", F.col("distance") + 1)
     if budget == "discovered":
         children = children.where((F.col("max_urls") <= 0) | (F.col("seq") < F.col("max_urls")))
-    return _add_to_frontier(children.select(columns), ws, "append")
+    return _add_to_frontier(children.select(columns), ws, buckets, "append")
 
 
 def _with_fetched_so_far(log: DataFrame, level: int, ws: Workspace) -> DataFrame:
@@ -393,8 +400,8 @@ def expand(
     """
     ws = ws.child("expand")
     level = ws.save(seeds.select("node").distinct(), "level-0")
-    distance = 0
-    reached = _reach(level, distance, ws, "overwrite")
+    distance, buckets = 0, ws.buckets_for(edges.count())
+    reached = _reach(level, distance, ws, buckets, "overwrite")
     while not level.isEmpty() and distance != max_distance:
         distance += 1
         found = (
@@ -404,10 +411,12 @@ def expand(
             .join(reached, "node", "left_anti")
         )
         level = ws.save(found, f"level-{distance}")
-        reached = _reach(level, distance, ws, "append")
+        reached = _reach(level, distance, ws, buckets, "append")
     return reached
 
 
-def _reach(level: DataFrame, distance: int, ws: Workspace, mode: str) -> DataFrame:
+def _reach(
+    level: DataFrame, distance: int, ws: Workspace, buckets: int, mode: str
+) -> DataFrame:
     nodes = level.withColumn("distance", F.lit(distance).cast("bigint"))
-    return ws.save_bucketed(nodes, "reached", ["node"], mode=mode)
+    return ws.save_bucketed(nodes, "reached", ["node"], buckets=buckets, mode=mode)

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Narrow rows that make a bucket worth a task.
+BUCKET_ROWS = 100_000
+
 #: Spark's own limit on the buckets of a table.
 MOST_BUCKETS = 100_000
 
@@ -129,6 +132,11 @@ class Workspace:
             return None
         return max(numbers), self.load(f"{name}-upto-{max(numbers)}")
 
+    def buckets_for(self, rows: int) -> int:
+        """Buckets for a table that may grow to about ``rows`` narrow rows."""
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
     def clean(self) -> None:
         """Remove the run's files and table names, once its results are consumed."""
         while self._children:
