@@ -41,7 +41,7 @@ from crawlweave.llm.hashing import mix, word_hashes
 from crawlweave.llm.rows import packed, slices
 from crawlweave.workspace import Workspace
 
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 BUCKETS = 24
 GRID = 64
 ROUNDS = 60
