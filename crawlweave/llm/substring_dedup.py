@@ -11,8 +11,9 @@ are code points of the original text.
 Occurrences are range-partitioned by digest and rank, so a passage that a third
 of all documents hold is spread over as many partitions as it fills. A sorted
 partition needs no memory: every row but the first of its digest is a repeat.
-Only the first and last row of each partition depend on the neighbours, and
-these are settled by one aggregate over at most two rows per partition.
+Only the digests at a partition's two ends depend on the neighbours: their
+earliest occurrences, at most two per partition, are found by one aggregate and
+sent to all tasks.
 
 Defined cases: a text that is null, empty or white space has no units; rows that
 agree in id and text are one document; a null id ranks first; repeats inside one
@@ -120,6 +121,36 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(head, pa.array([3], pa.int32()), head.column("_id"))
 
 
+def _settle(known: dict[tuple[int, int], tuple]):
+    """Repeats only, each with the document of the earliest occurrence.
+
+    ``known`` has the earliest occurrence of the digests at partitions' ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            role = batch.column("role").to_numpy()
+            keep = role < 3
+            first = batch.column("first_id")
+            unsure = np.flatnonzero((role == 1) | (role == 2))
+            if len(unsure):
+                ids = first.to_pylist()
+                asked = batch.take(pa.array(unsure)).select(["h1", "h2", "_id", "_key", "start"])
+                for row, (h1, h2, *rank) in zip(
+                    unsure, zip(*(c.to_pylist() for c in asked.columns), strict=True), strict=True
+                ):
+                    at = known[h1, h2]
+                    ids[row] = at[0]
+                    keep[row] = tuple(rank) != at
+                first = pa.array(ids, first.type)
+            columns = [*batch.columns[:-1], first]
+            out = pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+            if out.num_rows:
+                yield out
+
+    return run
+
+
 def _passages(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,19 +212,11 @@ def repeated_passages(
         .mapInArrow(_repeats, T.StructType(unit + fields(("role", T.IntegerType()), ("first_id", kind)))),
         "repeats",
     )
-    rank = F.struct("_id", "_key", "start")
-    earliest = found.where("role >= 2").groupBy("h1", "h2").agg(F.min(rank).alias("earliest"))
-    unsure = found.where("role in (1, 2)").join(earliest, ["h1", "h2"]).where(
-        rank != F.col("earliest")
-    )
+    earliest = F.min(F.struct("_id", "_key", "start")).alias("at")
+    cut = found.where("role >= 2").groupBy("h1", "h2").agg(earliest)
+    known = {(r.h1, r.h2): tuple(r.at) for r in cut.collect()}  # two a partition at most
     repeats = (
-        found.where("role = 0")
-        .select("_id", "_key", "start", "end", "words", "first_id")
-        .unionByName(
-            unsure.select(
-                "_id", "_key", "start", "end", "words", F.col("earliest._id").alias("first_id")
-            )
-        )
+        found.mapInArrow(_settle(known), found.schema)
         .groupBy("_id", "_key")
         .agg(F.collect_set(F.struct("start", "end", "words", "first_id")).alias("repeats"))
     )
