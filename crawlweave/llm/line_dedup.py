@@ -190,9 +190,13 @@ def line_bitmaps(
     per_doc = at_edge.groupBy("h1", "h2", "_key").agg(
         F.min(F.struct("_id", "_key", "pos")).alias("first")
     )
-    totals = per_doc.groupBy("h1", "h2").agg(
-        F.count("*").alias("n"), F.min("first").alias("first")
-    ).where(F.col("n") >= min_docs)
+    # Written first: two rows a partition at most, which Spark then broadcasts.
+    totals = ws.save(
+        per_doc.groupBy("h1", "h2")
+        .agg(F.count("*").alias("n"), F.min("first").alias("first"))
+        .where(F.col("n") >= min_docs),
+        "ends",
+    )
     late = at_edge.join(totals, ["h1", "h2"])
     if keep_first:
         late = late.where(~F.struct("_id", "_key", "pos").eqNullSafe(F.col("first")))
