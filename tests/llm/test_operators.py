@@ -120,6 +120,49 @@ def test_odd_substrings(spark, ws, odd, none):
     assert substring_dedup.repeated_passages(none, ws.child("e")).count() == 0
 
 
+def test_passages_without_sentence_ends(spark, ws):
+    """Every 51 words that stand in an earlier document lose words, wherever the passage lies."""
+    rnd = random.Random(11)
+
+    def noise(n):
+        return [f"n{rnd.randrange(10**9)}" for _ in range(n)]
+
+    def stopped(words, every, stop="."):
+        return [w + stop if i % every == every - 1 else w for i, w in enumerate(words)]
+
+    rows = []
+    for kind in range(120):
+        size = rnd.randrange(51, 75)
+        passage = noise(size)
+        if kind % 4 == 0:  # three sentences, the outer ones shared in part
+            passage = stopped(passage, 25)
+        elif kind % 4 == 1:
+            passage = stopped(passage, 9, "\u3002")
+        elif kind % 4 == 2:  # a stop in the middle, a changed word next to either end
+            passage = stopped(passage, size // 2)
+        for copy in range(2):
+            before, after = noise(rnd.randrange(3, 40)), noise(rnd.randrange(3, 40))
+            space = "\u00a0" if kind % 8 == 3 and copy else " "
+            rows.append((2 * kind + copy, space.join([*before, *passage, *after])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = substring_dedup.repeated_passages(df, ws).collect()
+    removed = {i: set() for i, _ in rows}
+    for r in got:
+        text = dict(rows)[r._id]
+        lo = len(text[: r.start].split())
+        assert len(text[r.start : r.end].split()) == r.n_words >= 30
+        removed[r._id].update(range(lo, lo + r.n_words))
+    seen = set()
+    for i, text in rows:
+        words = text.split()
+        windows = [(p, tuple(words[p : p + 51])) for p in range(len(words) - 50)]
+        shared = {p + j for p, window in windows if window in seen for j in range(51)}
+        seen.update(window for _, window in windows)
+        assert len(shared) >= 51 if i % 2 else not shared
+        assert len(shared - removed[i]) <= 2 * substring_dedup.EDGE
+        assert removed[i] <= shared
+
+
 # --- language ----------------------------------------------------------------------------
 
 
