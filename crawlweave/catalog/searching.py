@@ -227,9 +227,12 @@ def index_build(spark: SparkSession, folder: str) -> DataFrame:
     JOIN corpus c ON c.field = p.field GROUP BY ALL""",
 )
 def index_append(spark: SparkSession, folder: str) -> DataFrame:
-    """A third of the pages first, then all of them: the same as one build."""
+    """A third of the pages first, half of them with older texts, then all: the same as one build."""
     docs = plan.page_docs(table(spark, folder, "pages"))
-    first = plan.build_index(docs.where(F.col("doc_id") % 3 == 0), Workspace(spark))
+    older = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", F.lit("older words"), F.col("content")))
+    third = docs.where(F.col("doc_id") % 3 == 0)
+    old = third.withColumn("content", F.coalesce(older, F.col("content")))
+    first = plan.build_index(old, Workspace(spark))
     built = plan.add_documents(first, docs)
     totals = built.postings.groupBy("field", "term").agg(F.sum("tf").alias("total_tf"))
     return totals.join(built.terms, ["field", "term"]).join(

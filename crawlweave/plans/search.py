@@ -62,19 +62,34 @@ def build_index(docs: DataFrame, ws: Workspace) -> SearchIndex:
     return SearchIndex(stored, postings, terms, corpus, ws)
 
 
-def add_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
-    """The index with ``docs`` added; those it has already stay as they are.
-
-    Only the new documents are read: their rows join the buckets they belong to,
-    and their term and length counts are added to the old ones. The tables are
-    shared, so from then on only the index returned is to be used.
+def add_documents(index: SearchIndex, docs: DataFrame, newest: str | None = None) -> SearchIndex:
+    """The index with ``docs`` added; a document it has already is replaced.
+
+    Of rows that share a ``doc_id`` the one with the greatest ``newest`` column
+    counts, or else the one whose columns are greatest. Rows that the index holds
+    alike are left out. The others go into the buckets they belong to, and their
+    term and length counts are added to the old ones. Only where documents are
+    replaced are the tables written anew, without the old rows, and the old
+    documents' counts subtracted. Tables may be shared, so from then on only the
+    index returned is to be used.
     """
     ws = index.home
     batch = ws.child("added")
+    columns = index.docs.columns
+    rank = [F.col(newest).alias("_newest")] if newest else []
+    given = (
+        docs.groupBy("doc_id")
+        .agg(F.max(F.struct(*rank, "url", "title", "content")).alias("_row"))
+        .select("doc_id", "_row.url", "_row.title", "_row.content")
+    )
+    held = index.docs.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "url", "title", "content")])
+    alike = F.col("_doc_id") == F.col("doc_id")
+    for c in ("url", "title", "content"):
+        alike &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     fresh = batch.save_bucketed(
-        ranking.with_url_flags(docs.dropDuplicates(["doc_id"])).join(
-            index.docs.select("doc_id"), "doc_id", "left_anti"
-        ),
+        ranking.with_url_flags(given)
+        .join(held, alike, "left_anti")
+        .select(*columns),
         "docs",
         ["doc_id"],
         sort=["doc_id"],
@@ -82,25 +97,38 @@ def add_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
     added = batch.save_bucketed(
         idx.postings(fresh), "postings", ["doc_id"], sort=["field", "term"], placed=True
     )
-    terms = (
-        index.terms.unionByName(idx.term_stats(added))
-        .groupBy("field", "term")
-        .agg(F.sum("df").alias("df"))
-    )
+    ids = fresh.select("doc_id")
+    replaces = not ids.join(index.docs.select("doc_id"), "doc_id", "left_semi").isEmpty()
+    terms = index.terms.unionByName(idx.term_stats(added))
+    sums = index.corpus.drop("avgdl").unionByName(idx.corpus_stats(added).drop("avgdl"))
+    if replaces:
+        gone = batch.save(index.postings.join(ids, "doc_id", "left_semi"), "gone")
+        terms = terms.unionByName(idx.term_stats(gone).withColumn("df", -F.col("df")))
+        sums = sums.unionByName(
+            idx.corpus_stats(gone).select(
+                "field", (-F.col("n_docs")).alias("n_docs"), (-F.col("sum_dl")).alias("sum_dl")
+            )
+        )
+    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
     sums = (
-        index.corpus.drop("avgdl")
-        .unionByName(idx.corpus_stats(added).drop("avgdl"))
-        .groupBy("field")
+        sums.groupBy("field")
         .agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
+        .where("n_docs > 0")
     )
+    if replaces:
+        home, mode = batch.child("index"), "overwrite"
+        fresh = index.docs.join(ids, "doc_id", "left_anti").unionByName(fresh)
+        added = index.postings.join(ids, "doc_id", "left_anti").unionByName(added)
+    else:
+        home, mode = ws, "append"
     return SearchIndex(
-        ws.save_bucketed(fresh, "docs", ["doc_id"], ["doc_id"], placed=True, mode="append"),
-        ws.save_bucketed(added, "postings", ["doc_id"], ["field", "term"], placed=True, mode="append"),
+        home.save_bucketed(fresh, "docs", ["doc_id"], ["doc_id"], placed=True, mode=mode),
+        home.save_bucketed(added, "postings", ["doc_id"], ["field", "term"], placed=True, mode=mode),
         batch.save(
             terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "terms"
         ),
         batch.save(sums.withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")).coalesce(1), "corpus"),
-        ws,
+        home,
     )
 
 

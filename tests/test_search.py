@@ -112,6 +112,26 @@ def test_added_documents(spark, ws, corpus):
     assert found[0] == found[1] and found[0]
 
 
+def test_replaced_documents(spark, ws, corpus):
+    """Documents added again with other texts are found by these, and by nothing else."""
+    rows, whole = corpus
+    schema = "doc_id bigint, url string, title string, content string"
+    old = [(i, u, t, f"older {c} ab" if i % 2 else c) for i, u, t, c in rows[:60]]
+    old[3] = (*old[3][:2], "", "")
+    start = plan.build_index(spark.createDataFrame(old, schema), ws)
+    dated = [(*r, 2) for r in rows] + [(i, u, "zz", "zz", 1) for i, u, _, _ in rows[20:90]]
+    batch = spark.createDataFrame(dated, f"{schema}, seen int")
+    grown = plan.add_documents(start, batch.where("doc_id < 100"), newest="seen")
+    grown = plan.add_documents(grown, batch, newest="seen")
+    for name in ("docs", "postings", "terms", "corpus"):
+        got, want = (
+            sorted(map(str, getattr(i, name).select(getattr(whole, name).columns).collect()))
+            for i in (grown, whole)
+        )
+        assert got == want, name
+    assert plan.search_one(grown, "older", ws).count() == 0
+
+
 def test_two_searches_in_one_workspace(spark, ws, corpus):
     _, index = corpus
     found = [plan.search_one(index, q, ws) for q in ("ab cd", "naïve")]
