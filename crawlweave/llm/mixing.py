@@ -166,14 +166,27 @@ def mix(
 def take_mix(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
 
-    Columns of these names are replaced.
+    Each row stands once, with its whole text: ``taken`` words of it, over as many
+    passes as that takes, are the mix. Rows that agree in id, text and source have
+    a ``taken`` each. Columns of these names are replaced.
     """
     added = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*added)
-    mixed = mix(docs, ws, **options).where("taken > 0")
-    one = mixed.groupBy("_id", "_key").agg(*[F.max(c).alias(f"_{c}") for c in added])
-    both = join_keyed(with_rest(docs), one, "inner").withColumn(
-        "_row", F.struct("_row.*", *[F.col(f"_{c}") for c in added])
+    source = options.get("source_col", "source")
+    same = W.partitionBy("_id", "_key", "_source")
+    mixed = (
+        mix(docs, ws, **options)
+        .where("taken > 0")
+        .withColumnsRenamed({c: f"_{c}" for c in [*added, "source"]})
+        .withColumn("_copy", F.row_number().over(same.orderBy(F.desc("_taken"))))
+        .withColumnsRenamed({"_source": "_from", "_copy": "_nth"})
+    )
+    rows = with_rest(docs).withColumn("_source", F.col("_row").getField(source))
+    rows = rows.withColumn("_copy", F.row_number().over(same.orderBy(F.lit(0))))
+    both = (
+        join_keyed(rows, mixed, "inner")
+        .where(F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_copy") == F.col("_nth")))
+        .withColumn("_row", F.struct("_row.*", *[F.col(f"_{c}") for c in added]))
     )
     taken = {f"_{c}": c for c in added}
     shape = docs.withColumns({f"_{c}": F.lit(0) for c in added})

@@ -425,3 +425,13 @@ def test_odd_scores(spark, ws, odd, none):
     nothing = ngram_lm.score_documents(odd, F.lit(False), ws.child("n")).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in nothing)
     assert ngram_lm.score_documents(none, F.lit(True), ws.child("e")).count() == 0
+
+
+def test_equal_rows_are_taken_once_each(spark, ws):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", None), (2, "e " * 100, "y"), (None, "f g", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [tuple(r) for r in mixing.mix(docs, ws, (1, 9, 1)).select("_id", "source", "taken").collect()]
+    got = mixing.take_mix(docs, ws.child("t"), weights=(1, 9, 1)).collect()
+    assert collections.Counter((r.doc_id, r.source, r.taken) for r in got) == collections.Counter(w for w in want if w[2])
+    half = mixing.take_mix(docs, ws.child("h"), weights=(1, 40, 40), max_epochs=1).collect()
+    assert sum(r.taken for r in half if r.source == "x") == int(max(r.target for r in half if r.source == "x"))
