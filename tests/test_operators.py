@@ -26,15 +26,14 @@ def test_running_before_in_blocks(spark):
             assert r.s == sum(v for g, o, v in rows if g == r.g and o < r.o)
 
 
-def test_number_claims_both_ways(spark):
+def test_number_claims(spark):
     rnd = random.Random(2)
     pairs = rnd.sample([(p, q) for p in range(40) for q in range(0, 20000, 500)], 600)
     rows = [("c", f"u{i}", p, q) for i, (p, q) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "crawl_id string, url string, parent_seq bigint, pos bigint")
     want = {f"u{i}": n for n, (_, i) in enumerate(sorted((pq, i) for i, pq in enumerate(pairs)))}
-    for known in (None, 600):
-        got = {r.url: r.nth for r in steps.number_claims(df, known).collect()}
-        assert got == want
+    got = {r.url: r.nth for r in steps.number_claims(df).collect()}
+    assert got == want
 
 
 def test_limit_counts_known_urls(spark):
