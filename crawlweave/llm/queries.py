@@ -330,3 +330,19 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_words").cast("bigint").alias("n_words"),
         F.col("first_id").alias("first_doc_id"),
     )
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from crawlweave.llm import bpe_codec
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_codec.encode_documents(table(spark, folder, "documents"), path)
+    return bpe_codec.decode_documents(encoded, path).select(
+        F.col("_id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
