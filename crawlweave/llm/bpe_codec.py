@@ -47,10 +47,11 @@ MEMO = 600_000
 LONGEST = 64  # bytes of a piece that is remembered
 
 _ASCII_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++"  # ASCII and Latin-1
+#: ASCII and Latin-1 letters, which any splitting rule keeps together.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
 _ASCII_SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
 #: UTF-8 of all white space but space and line feed.
-_OTHER_SPACE = re.compile(
+OTHER_SPACE = re.compile(
     rb"[\x09\x0b-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80"
     rb"|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
@@ -96,15 +97,41 @@ def token_bytes(spec: dict) -> list[bytes]:
     return out
 
 
-def joined_pairs(spec: dict) -> np.ndarray:
+def pairs_inside(tokens: list[bytes]) -> np.ndarray:
     """``[a, b]``: whether byte ``b`` follows byte ``a`` inside some token."""
     inside = np.zeros((256, 256), bool)
-    for token in token_bytes(spec):
+    for token in tokens:
         data = np.frombuffer(token, np.uint8)
         inside[data[:-1], data[1:]] = True
     return inside
 
 
+def certain_cuts(inside: np.ndarray) -> re.Pattern:
+    """Pieces that end where the pair table and the splitting rule both cut."""
+
+    def joined(before, after) -> bytes:
+        """Looks at the place between two bytes: they stand side by side in a token."""
+        pairs = [b"(?<=\\x%02x)\\x%02x" % (a, b) for a in before for b in after if inside[a, b]]
+        return b"|".join(pairs) or rb"[^\x00-\xff]"
+
+    marks = [b for b in range(0x21, 0x7F) if b not in _ASCII_LETTERS]
+    ends = [*_ASCII_LETTERS, *range(0x80, 0xC0)]
+    visible = [b for b in range(256) if b not in _ASCII_SPACE]
+    before_space = joined(visible, [0x20, 0x0A])
+    end = rb"(?!" + joined(ends, [0x20, 0x0A, *marks]) + rb")(?=[^A-Za-z\x80-\xff]|\Z)"
+    return re.compile(
+        b"|".join(
+            [
+                rb"\n(?=[^ \n])(?!" + joined([0x0A], visible) + rb")",
+                _WORD.pattern + end,
+                rb"[!-/:-@\[-`{-~]+(?=[ \n]|\Z)(?!" + before_space + rb")",
+                rb"[ \n]*[^ \n]+(?:(?=" + before_space + rb")[ \n]+[^ \n]+)*",
+                rb"[ \n]+\Z",
+            ]
+        )
+    )
+
+
 class Codec:
     """Exact ids of texts, and back; it remembers pieces and fragments."""
 
@@ -116,11 +143,10 @@ class Codec:
         library = Tokenizer.from_str(model.decode("utf-8"))
         self._split, self._merge = library.pre_tokenizer, library.model
         self.bytes_of = token_bytes(spec)
-        inside = joined_pairs(spec)
+        inside = pairs_inside(self.bytes_of)
         letter = {b: c for c, b in byte_alphabet().items()}
         self._joined = {letter[a] + letter[b] for a, b in np.argwhere(inside)}
-        self._word = re.compile(rb" ?" + _LETTERS)
-        self._cut = self._cuts(inside)
+        self._cut = certain_cuts(inside)
         self._letter_of = {b: c for c, b in byte_alphabet().items()}
         added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]} if specials else {}
         self._added = {k: np.uint32(i).tobytes() for k, i in added.items()}
@@ -129,31 +155,6 @@ class Codec:
         self._pieces: dict[bytes, bytes] = {}
         self._fragments: dict[str, bytes] = {}
 
-    def _cuts(self, inside: np.ndarray) -> re.Pattern:
-        """Pieces that end where the pair table and the splitting rule both cut."""
-
-        def joined(before, after) -> bytes:
-            """Looks at the place between two bytes: they stand side by side in a token."""
-            pairs = [b"(?<=\\x%02x)\\x%02x" % (a, b) for a in before for b in after if inside[a, b]]
-            return b"|".join(pairs) or rb"[^\x00-\xff]"
-
-        marks = [b for b in range(0x21, 0x7F) if b not in _ASCII_LETTERS]
-        ends = [*_ASCII_LETTERS, *range(0x80, 0xC0)]
-        visible = [b for b in range(256) if b not in _ASCII_SPACE]
-        before_space = joined(visible, [0x20, 0x0A])
-        end = rb"(?!" + joined(ends, [0x20, 0x0A, *marks]) + rb")(?=[^A-Za-z\x80-\xff]|\Z)"
-        return re.compile(
-            b"|".join(
-                [
-                    rb"\n(?=[^ \n])(?!" + joined([0x0A], visible) + rb")",
-                    self._word.pattern + end,
-                    rb"[!-/:-@\[-`{-~]+(?=[ \n]|\Z)(?!" + before_space + rb")",
-                    rb"[ \n]*[^ \n]+(?:(?=" + before_space + rb")[ \n]+[^ \n]+)*",
-                    rb"[ \n]+\Z",
-                ]
-            )
-        )
-
     def fragments(self, part: str) -> list[str]:
         """``part``, in the byte alphabet, cut where no token reaches across."""
         at = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self._joined]
@@ -169,14 +170,14 @@ class Codec:
         return known
 
     def _piece(self, piece: bytes) -> bytes:
-        if self._word.fullmatch(piece):  # one part by any splitting rule
+        if _WORD.fullmatch(piece):  # one part by any splitting rule
             parts = [piece.decode("latin-1").translate(self._letter_of)]
         else:
             parts = [part for part, _ in self._split.pre_tokenize_str(piece.decode("utf-8"))]
         return b"".join(self._fragment(f) for part in parts for f in self.fragments(part))
 
     def _plain(self, text: bytes) -> bytes:
-        if _OTHER_SPACE.search(text):
+        if OTHER_SPACE.search(text):
             return self._piece(text)
         pieces, memo = self._cut.findall(text), self._pieces
         try:

@@ -346,3 +346,61 @@ def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from crawlweave.llm import token_alignment
+
+    found, _ = token_alignment.aligned(
+        table(spark, folder, "documents"),
+        Workspace(spark),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.withColumnRenamed("_id", "doc_id")
+
+
+@query(
+    "op11_phrase_mining",
+    r"""
+    WITH piece AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+    ), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+    gram AS (
+      SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS c
+      FROM place, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)
+      GROUP BY ALL HAVING count(*) >= 100
+    ), held AS (
+      SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(c) AS c
+      FROM (SELECT lang, c, k, string_split(g, ' ') AS w, unnest(range(1, k)) AS i FROM gram),
+        (SELECT unnest(range(2, 5)) AS m)
+      WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+    ), kept AS (
+      SELECT * FROM gram x WHERE k >= 2
+        AND NOT EXISTS (FROM held h WHERE h.lang = x.lang AND h.g = x.g AND 100 * h.c >= 100 * x.c)
+    ), cut AS (
+      SELECT lang, g, c, string_split(g, ' ') AS w, unnest(range(1, k)) AS j, k FROM kept
+    ), judged AS (
+      SELECT t.lang, t.g, t.c AS a, j, x.c AS l, y.c AS r, n,
+        ((1000::HUGEINT * t.c * n) // (x.c::HUGEINT * y.c))::BIGINT AS score
+      FROM cut t JOIN total USING (lang)
+        JOIN gram x ON x.lang = t.lang AND x.g = array_to_string(w[1:j], ' ')
+        JOIN gram y ON y.lang = t.lang AND y.g = array_to_string(w[j + 1:t.k], ' ')
+    ), best AS (
+      SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank,
+      g AS phrase, a, l, r, n, score
+    FROM best QUALIFY rank <= 2000
+    """,
+)
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    from crawlweave.llm import phrase_mining
+
+    return phrase_mining.collocations(table(spark, folder, "documents"), Workspace(spark))
