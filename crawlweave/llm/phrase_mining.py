@@ -27,6 +27,7 @@ the table, whatever their names, are not looked at.
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -50,6 +51,7 @@ BLOCK = 16 << 20
 BURST = 4096
 ENTRIES = 1_000_000
 FEED = 1 << 18  # places counted at once
+SAMPLE = 16  # one block in so many is counted beforehand to find the partitions' bounds
 
 # What ends a piece, what ends a word, and lower case.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -212,8 +214,25 @@ class HatTrie:
         )
 
 
-def _count_runs(longest: int):
-    names = [f"w{i}" for i in range(longest)]
+def _packed(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs and counts two numbers to a column, in the order of the runs."""
+    whole = np.concatenate([rows, np.zeros((len(rows), (rows.shape[1] + 1) % 2), np.int64), counts[:, None]], axis=1)
+    return whole[:, ::2] << 32 | whole[:, 1::2]
+
+
+def _unpacked(columns: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    halves = [h for c in columns for h in (c >> 32, c & 0xFFFFFFFF)]
+    return np.stack(halves[:longest], axis=1), halves[-1]
+
+
+def _columns(longest: int) -> list[str]:
+    return [f"c{i}" for i in range((longest + 2) // 2)]
+
+
+def _count_runs(longest: int, bounds: list[tuple]):
+    """Packed runs of a block, with the partition that their words belong to."""
+    names = _columns(longest)
+    heads = np.array([b[0] for b in bounds], np.int64)
 
     def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
         trie = HatTrie(longest)
@@ -228,7 +247,15 @@ def _count_runs(longest: int):
                 rows[np.cumsum(rows == 0, axis=1) > 0] = 0
                 trie.add(rows)
         rows, counts = trie.runs()
-        return pa.table([*(pa.array(rows[:, i]) for i in range(longest)), pa.array(counts)], names=[*names, "n"])
+        packed = _packed(rows, counts)
+        part = np.searchsorted(heads, packed[:, 0], "left")
+        ties = np.flatnonzero(np.searchsorted(heads, packed[:, 0], "right") > part)
+        # The count must not tell equal runs apart, so a bound's own is 0.
+        bare = packed[ties] - np.r_[np.zeros(len(names) - 1, np.int64), 1] * (packed[ties] & 0xFFFFFFFF)
+        part[ties] = [bisect_right(bounds, tuple(r)) for r in bare.tolist()]
+        return pa.table(
+            [*(pa.array(packed[:, i]) for i in range(len(names))), pa.array(part.astype(np.int32))], names=[*names, "part"]
+        )
 
     return run
 
@@ -254,8 +281,7 @@ def _merge(longest: int, min_count: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-            n = batch.column("n").to_numpy()
+            rows, n = _unpacked([batch.column(c).to_numpy() for c in _columns(longest)], longest)
             new = np.zeros(len(rows), bool)
             new[0] = True
             new[1:] = rows[1:, 0] != rows[:-1, 0]
@@ -334,15 +360,34 @@ def phrase_counts(
 
     answers = held.drop("n").join(words.drop("n"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
     streams = blocks.where("stream is not null").select("block", "stream")
-    names = [f"w{i}" for i in range(longest)]
-    runs_of = T.StructType([*[T.StructField(c, T.IntegerType()) for c in names], T.StructField("n", T.LongType())])
-    runs = ws.save(
-        streams.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_count_runs(longest), runs_of), "runs"
-    )
+    names, columns = [f"w{i}" for i in range(longest)], _columns(longest)
+    packed = T.StructType([*[T.StructField(c, T.LongType()) for c in columns], T.StructField("part", T.IntegerType())])
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(of: DataFrame, asked: DataFrame, bounds: list[tuple]) -> DataFrame:
+        both = of.groupBy("block").cogroup(asked.groupBy("asker"))
+        return both.applyInArrow(_count_runs(longest, bounds), packed)
+
+    # Bounds of the partitions, one entry each, from a sample of blocks: only the
+    # balance of partitions depends on them, and the runs need not be written first.
+    some = streams.select("block").orderBy(F.xxhash64("block")).limit(max(1, streams.count() // SAMPLE))
+    some = ws.save(some, "sampled")
+    bare = [*columns[:-1], (F.col(columns[-1]).bitwiseAND(F.lit(-1 << 32))).alias(columns[-1])]
+    begins = (
+        counted(streams.join(some, "block"), answers.join(some.withColumnRenamed("block", "asker"), "asker"), [])
+        .select(*bare)
+        .repartitionByRange(width, *columns)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.min(F.struct(*columns)).alias("at"))
+        .collect()
+    )
+    bounds = sorted(tuple(r["at"]) for r in begins)[1:]
+    runs_of = T.StructType([*[T.StructField(c, T.IntegerType()) for c in names], T.StructField("n", T.LongType())])
     merged = (
-        runs.repartitionByRange(width, *names)
-        .sortWithinPartitions(*names)
+        counted(streams, answers, bounds)
+        .repartitionById(width, "part")
+        .drop("part")
+        .sortWithinPartitions(*columns)
         .mapInArrow(_merge(longest, min_count), runs_of)
         .groupBy(*names)
         .agg(F.sum("n").alias("n"))
