@@ -26,7 +26,7 @@ docs AS (SELECT page_id AS doc_id, url, {title_sql()} AS title, {body_sql()} AS
 
 _TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 
-_POSTINGS_SQL = f"""
+POSTINGS_SQL = f"""
 toks AS (SELECT doc_id, 'title' AS field, {_TOKENS.format('title')} AS l FROM docs
          UNION ALL SELECT doc_id, 'content', {_TOKENS.format('content')} FROM docs),
 words AS (SELECT doc_id, field, len(l) AS dl, unnest(l) AS term FROM toks),
@@ -36,7 +36,7 @@ per_doc AS (SELECT DISTINCT doc_id, field, dl FROM postings),
 corpus AS (SELECT field, count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS sum_dl, avg(dl) AS avgdl
            FROM per_doc GROUP BY 1)"""
 
-_SCORES_SQL = f"""
+SCORES_SQL = f"""
 qwords AS (SELECT query_id, unnest({_TOKENS.format('text')}) AS term FROM queries),
 qterms AS (SELECT query_id, term, count(*) AS qtf FROM qwords GROUP BY ALL),
 parts AS (SELECT q.query_id, p.doc_id, p.field,
@@ -95,7 +95,7 @@ shown AS (SELECT r.query_id, r.rank, r.tier, r.url, coalesce(
             {_highlights_sql('content', 'q.words')}[1], '') AS snippet
           FROM results r JOIN qlist q ON r.query_id = q.query_id)"""
 
-_FIXED_QUERIES_SQL = "queries AS (SELECT * FROM (VALUES {}) AS v(query_id, text))".format(
+FIXED_QUERIES_SQL = "queries AS (SELECT * FROM (VALUES {}) AS v(query_id, text))".format(
     ", ".join(f"(CAST({i} AS BIGINT), '{t}')" for i, t in enumerate(QUERY_TEXTS))
 )
 
@@ -177,7 +177,7 @@ def item_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "term_freq",
-    f"WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL} SELECT doc_id, field, term, tf, dl FROM postings",
+    f"WITH {_PAGE_DOCS_SQL}, {POSTINGS_SQL} SELECT doc_id, field, term, tf, dl FROM postings",
 )
 def term_freq(spark: SparkSession, folder: str) -> DataFrame:
     docs = plan.page_docs(table(spark, folder, "pages"))
@@ -186,7 +186,7 @@ def term_freq(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "doc_freq",
-    f"WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL} SELECT field, term, df FROM terms",
+    f"WITH {_PAGE_DOCS_SQL}, {POSTINGS_SQL} SELECT field, term, df FROM terms",
 )
 def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
     docs = plan.page_docs(table(spark, folder, "pages"))
@@ -195,7 +195,7 @@ def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "corpus_stats",
-    f"""WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}
+    f"""WITH {_PAGE_DOCS_SQL}, {POSTINGS_SQL}
     SELECT field, n_docs, sum_dl, round(avgdl, 6) AS avgdl FROM corpus""",
 )
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +205,7 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "index_build",
-    f"""WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}
+    f"""WITH {_PAGE_DOCS_SQL}, {POSTINGS_SQL}
     SELECT p.field, p.term, CAST(sum(p.tf) AS BIGINT) AS total_tf, t.df, c.n_docs, c.sum_dl
     FROM postings p JOIN terms t ON t.field = p.field AND t.term = p.term
     JOIN corpus c ON c.field = p.field GROUP BY ALL""",
@@ -221,7 +221,7 @@ def index_build(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "index_append",
-    f"""WITH {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}
+    f"""WITH {_PAGE_DOCS_SQL}, {POSTINGS_SQL}
     SELECT p.field, p.term, CAST(sum(p.tf) AS BIGINT) AS total_tf, t.df, c.n_docs, c.sum_dl
     FROM postings p JOIN terms t ON t.field = p.field AND t.term = p.term
     JOIN corpus c ON c.field = p.field GROUP BY ALL""",
@@ -252,7 +252,7 @@ docs AS (SELECT CAST('0x' || substr(md5(c.crawl_id || chr(10) || c.url), 1, 15)
 
 @query(
     "crawl_search",
-    f"""WITH {_FIXED_QUERIES_SQL}, {_CRAWL_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
+    f"""WITH {FIXED_QUERIES_SQL}, {_CRAWL_DOCS_SQL}, {POSTINGS_SQL}, {SCORES_SQL},
     {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
 )
 def crawl_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,7 +266,7 @@ def crawl_search(spark: SparkSession, folder: str) -> DataFrame:
 @searching(
     "bm25_topk",
     "pages",
-    f"""WITH {_FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL}
+    f"""WITH {FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {POSTINGS_SQL}, {SCORES_SQL}
     SELECT query_id, doc_id, score, hit FROM best""",
 )
 def bm25_topk(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
@@ -276,7 +276,7 @@ def bm25_topk(spark: SparkSession, folder: str, index: plan.SearchIndex) -> Data
 @searching(
     "search_pages",
     "pages",
-    f"""WITH {_FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
+    f"""WITH {FIXED_QUERIES_SQL}, {_PAGE_DOCS_SQL}, {POSTINGS_SQL}, {SCORES_SQL},
     {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
 )
 def search_pages(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
@@ -287,7 +287,7 @@ def search_pages(spark: SparkSession, folder: str, index: plan.SearchIndex) -> D
 @searching(
     "search_batch",
     "documents",
-    f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
+    f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {POSTINGS_SQL}, {SCORES_SQL},
     {_FLAGS_SQL}, {_SNIPPETS_SQL} SELECT query_id, rank, url, snippet FROM shown""",
 )
 def search_batch(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:
@@ -298,7 +298,7 @@ def search_batch(spark: SparkSession, folder: str, index: plan.SearchIndex) -> D
 @searching(
     "rerank_tiers",
     "documents",
-    f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {_POSTINGS_SQL}, {_SCORES_SQL},
+    f"""WITH {_ITEM_QUERIES_SQL}, {_TEXT_DOCS_SQL}, {POSTINGS_SQL}, {SCORES_SQL},
     {_FLAGS_SQL} SELECT query_id, rank, tier, url FROM results""",
 )
 def rerank_tiers(spark: SparkSession, folder: str, index: plan.SearchIndex) -> DataFrame:

@@ -12,11 +12,11 @@ from crawlweave.functions import text
 FIELDS = ("title", "content")
 
 
-def postings(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+def postings(docs: DataFrame, fields: Sequence[str] = FIELDS, keep: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, field, term, tf, dl)``: counts per document, with field length.
 
     When ``docs`` is partitioned by ``doc_id`` this needs no shuffle; otherwise
-    counts are combined per task first.
+    counts are combined per task first. Columns of a document in ``keep`` stay.
     """
     per_field = F.array(
         *[
@@ -25,10 +25,10 @@ def postings(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
         ]
     )
     return (
-        docs.select("doc_id", F.explode(per_field).alias("_f"))
-        .select("doc_id", "_f.field", "_f.toks", F.size("_f.toks").cast("bigint").alias("dl"))
-        .select("doc_id", "field", "dl", F.explode("toks").alias("term"))
-        .groupBy("doc_id", "field", "dl", "term")
+        docs.select("doc_id", *keep, F.explode(per_field).alias("_f"))
+        .select("doc_id", *keep, "_f.field", "_f.toks", F.size("_f.toks").cast("bigint").alias("dl"))
+        .select("doc_id", *keep, "field", "dl", F.explode("toks").alias("term"))
+        .groupBy("doc_id", *keep, "field", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
 

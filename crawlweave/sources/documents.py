@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def doc_key() -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
 
-def index_docs(fetched: DataFrame) -> DataFrame:
+def index_docs(fetched: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Documents from crawled records that carry ``title`` and ``content``.
 
     ``doc_key`` depends on crawl and URL alone, so writing a page twice in one
@@ -33,6 +35,7 @@ def index_docs(fetched: DataFrame) -> DataFrame:
         "content",
         F.col("distance").cast("int").alias("level"),
         F.lit(CONTENT_TYPE).alias("content_type"),
+        *keep,
     )
 
 

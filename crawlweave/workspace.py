@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 #: Narrow rows that make a bucket worth a task.
@@ -124,14 +125,39 @@ class Workspace:
 
     def compacted(self, name: str) -> tuple[int, DataFrame] | None:
         """The newest finished table of ``name`` folded up to a batch, and that batch."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        found = hadoop.Path(f"{self.path(name)}-upto-*/_SUCCESS")
-        files = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)
-        numbers = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in files or ()]
+        numbers = self._numbered(f"{name}-upto-*")
         if not numbers:
             return None
         return max(numbers), self.load(f"{name}-upto-{max(numbers)}")
 
+    def attach_bucketed(
+        self, name: str, schema: StructType, keys: Sequence[str], sort: Sequence[str], buckets: int
+    ) -> DataFrame:
+        """A table that ``save_bucketed`` wrote, possibly in another session, under a new name."""
+        table = f"crawlweave_{self.run_id}_{name}"
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        order = f"SORTED BY ({', '.join(sort)})" if sort else ""
+        self.spark.sql(
+            f"CREATE TABLE {table} ({listed}) USING parquet CLUSTERED BY ({', '.join(keys)}) {order} "
+            f"INTO {buckets} BUCKETS LOCATION '{self.path(name)}'"
+        )
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def adopt(self, other: Workspace) -> None:
+        """Let ``clean`` remove another workspace, too."""
+        self._children.append(other)
+
+    def _numbered(self, pattern: str) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        found = hadoop.Path(f"{self.path(pattern)}/_SUCCESS")
+        files = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)
+        return [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in files or ()]
+
+    def newest(self, name: str) -> int | None:
+        """The greatest number of the finished tables ``name-<number>``."""
+        return max(self._numbered(f"{name}-*"), default=None)
+
     def buckets_for(self, rows: int) -> int:
         """Buckets for a table that may grow to about ``rows`` narrow rows."""
         most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

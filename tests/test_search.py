@@ -137,3 +137,74 @@ def test_two_searches_in_one_workspace(spark, ws, corpus):
     found = [plan.search_one(index, q, ws) for q in ("ab cd", "naïve")]
     first, second = (f.collect() for f in found)
     assert first and second and first != second
+
+
+def _asked(spark):
+    rnd = random.Random(9)
+    words = [*WORDS, "zz", "ab cd", "op op"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 5)))) for i in range(40)]
+    return spark.createDataFrame(rows, "query_id bigint, text string")
+
+
+def test_pruned_equals_unpruned(spark, ws):
+    """Also where segments were added, whose mean lengths differ from those of the whole."""
+    rnd = random.Random(4)
+
+    def some(lo, hi, most):
+        return [
+            (i, f"https://x.org/p/{i}", rnd.choice(["", "ab", "gh mn"]), " ".join(rnd.choices(WORDS, weights=range(1, 11), k=rnd.randrange(most))))
+            for i in range(lo, hi)
+        ]
+
+    schema = "doc_id bigint, url string, title string, content string"
+    index = plan.build_index(spark.createDataFrame(some(0, 600, 30), schema), ws)
+    queries = _asked(spark)
+    for step, rows in enumerate([[], some(500, 900, 200), some(880, 1000, 6)]):
+        if rows:
+            index = plan.add_documents(index, spark.createDataFrame(rows, schema))
+        for boosts in ({"title": 3.0, "content": 1.0}, {"content": 1.0}):
+            want = plan.all_scored(index, queries, ws, boosts, hits=7)
+            for share in (1.0, plan.PRUNE_SHARE):
+                got = plan.top_scored(index, queries, ws, boosts, hits=7, prune_share=share)
+                assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (step, share)
+    full, whole = plan.scored_documents(index, queries, ws, hits=7)
+    assert 0 < full < whole / 3
+
+
+def test_index_opens_again_and_folds(spark, ws, corpus):
+    rows, whole = corpus
+    schema = "doc_id bigint, url string, title string, content string"
+    home = ws.child("kept")
+    assert plan.open_index(home) is None
+    plan.add_to(home, spark.createDataFrame(rows[:50], schema))
+    changed = [(i, u, t, f"{c} new") for i, u, t, c in rows[40:120]]
+    plan.add_to(home, spark.createDataFrame(changed, schema))
+    plan.add_to(home, spark.createDataFrame(rows, schema))
+    found = plan.open_index(home)
+    assert [s.number for s in found.segments] == [0, 1, 2]
+    assert plan.add_to(home, spark.createDataFrame(rows[:10], schema)).version == found.version
+    folded = plan.fold_index(found)
+    assert len(plan.open_index(home).segments) == 1
+    for index in (found, folded, plan.open_index(home)):
+        for name in ("docs", "postings", "terms"):
+            got, want = (sorted(map(str, getattr(i, name).select(getattr(whole, name).columns).collect())) for i in (index, whole))
+            assert got == want, name
+
+
+def test_update_leaves_old_files_alone(spark, ws, corpus):
+    """An update writes its own documents, and a failed one is as if it had not begun."""
+    rows, _ = corpus
+    schema = "doc_id bigint, url string, title string, content string"
+    start = plan.build_index(spark.createDataFrame(rows, schema), ws)
+    before = {f for s in start.segments for f in s.postings.inputFiles()}
+    one = spark.createDataFrame([(rows[3][0], rows[3][1], "t", "changed")], schema)
+    # An attempt that ends before the list of segments is written.
+    plan._write_segment(1, one, start.home)
+    assert len(plan.open_index(start.home).segments) == 1
+    grown = plan.add_documents(start, one)
+    assert {f for f in grown.segments[0].postings.inputFiles()} == before
+    assert grown.segments[1].postings.select("doc_id").distinct().count() == 1
+    live = grown.live(grown.segments[0].postings, grown.segments[0])
+    text = live._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in text and "Write" not in text
+    assert grown.docs.where("doc_id = 3").select("content").collect()[0][0] == "changed"

@@ -1,10 +1,13 @@
 """Streams over several files equal their batch twins."""
 
 import random
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from crawlweave.operators.status import status_latest, visited_count
+from crawlweave.plans import search
 from crawlweave.streaming import crawls
 from crawlweave import Workspace
 from crawlweave.streaming.runs import (
@@ -120,3 +123,59 @@ def test_bad_messages_go_aside(spark, ws):
     crawls.consume_frontier(stream, ws).awaitTermination()
     got = {r.ok: r.n for r in ws.load("frontier").groupBy("ok").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 1, 0: 1}
+
+
+def _watch_rows(spark, ws, parts, name):
+    schema = "crawl_id string, seq bigint, url string, start boolean, max_time timestamp"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ws.path(name))
+    return file_stream(spark, ws.path(name), "*.parquet", per_batch=1)
+
+
+def test_restarted_crawl_counts_from_nothing(spark, ws):
+    """The second start clears the count; records that come in late stay on their side of it."""
+    parts = [
+        [("a", 1, "u1", True, None), ("a", 2, "u2", False, None), ("b", 1, "u1", None, None)],
+        [("a", 12, "u9", False, None), ("a", 3, "u3", False, None)],
+        [("a", 10, "u1", True, None), ("a", 11, "u2", False, None), ("a", 4, "u4", False, None)],
+        [("a", 5, "u5", False, None), ("a", 13, None, False, None), ("b", 2, "u1", None, None)],
+    ]
+    for slices in (1, 3):
+        name = f"w{slices}"
+        stream = _watch_rows(spark, ws, parts, f"in{slices}")
+        crawls.watch_crawls(stream, ws, name, slices=slices).awaitTermination()
+        got = {r.crawl_id: (r.num_pages, r.stop_reason) for r in crawls.watched(ws, name).collect()}
+        assert got == {"a": (3, None), "b": (1, None)}
+
+
+def test_deadline_fires_without_a_record(spark, ws):
+    soon = datetime.now(timezone.utc) + timedelta(seconds=15)
+    rows = [("a", 1, "u", True, soon), ("b", 1, "u", True, soon + timedelta(days=1)), ("c", 1, "u", True, None)]
+    stream = _watch_rows(spark, ws, [rows], "in")
+    query = crawls.watch_crawls(stream, ws, slices=1, trigger={"processingTime": "1 second"})
+    try:
+        for _ in range(240):
+            time.sleep(0.5)
+            assert query.exception() is None
+            if query.recentProgress and query.recentProgress[-1]["batchId"] > 0:
+                got = {r.crawl_id: r.stop_reason for r in crawls.watched(ws).collect()}
+                if got.get("a"):
+                    break
+    finally:
+        query.stop()
+    assert got == {"a": "timeout", "b": None, "c": None}
+
+
+def test_stream_is_searchable_batch_by_batch(spark, ws):
+    schema = "crawl_id string, url string, base_url string, distance int, html string, at int"
+    parts = [
+        [("c", f"https://x.org/{i}", "https://x.org/", 0, f"<title>t{i}</title><body>old words</body>", 1) for i in range(5)],
+        [("c", "https://x.org/1", "https://x.org/", 0, "<body>new words</body>", 3), ("c", "https://x.org/1", "https://x.org/", 0, "<body>middle words</body>", 2)],
+    ]
+    home = ws.child("live")
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ws.path("pages"))
+        crawls.search_pages_live(file_stream(spark, ws.path("pages"), "*.parquet"), home).awaitTermination()
+        index = search.open_index(home)
+        found = {w: search.search_one(index, w, ws).count() for w in ("old", "new", "middle")}
+        assert found == [{"old": 5, "new": 0, "middle": 0}, {"old": 4, "new": 1, "middle": 0}][n]
