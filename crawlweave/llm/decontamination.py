@@ -30,7 +30,6 @@ BROADCAST_BYTES = 32 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -149,7 +148,7 @@ def contamination(
     sizes = keyed(docs, **known).select(
         "_id",
         "_key",
-        F.coalesce(F.regexp_count("_text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.size(words(F.col("_text"))).cast("bigint").alias("n_words"),
     )
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0))
     return join_keyed(sizes, join_keyed(per_doc, per_item)).select(
