@@ -263,6 +263,13 @@ def page_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("page_text_quoted", f"SELECT page_id, {body_sql()} AS content FROM pages")
+def page_text_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph gets attributes that hold a tag's end and a tag: the text stays."""
+    marked = F.replace(F.col("html"), F.lit("<p>"), F.lit("""<p title="a > b" data-x = '<i>'>"""))
+    return table(spark, folder, "pages").select("page_id", html.body_text(marked).alias("content"))
+
+
 @query("page_title", f"SELECT page_id, {title_sql()} AS title FROM pages")
 def page_title(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select(

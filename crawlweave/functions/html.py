@@ -20,6 +20,21 @@ INLINE_TAGS = "a|b|i|em|strong|span|u|small|sub|sup|code"
 # openers it has. Of the head only the title is text.
 _UNSEEN = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
 _UNSEEN_OR_TITLE = r"(?is)<(title|script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+# A tag up to its end: a quoted value is taken whole, whatever it holds, and a quote
+# that is never closed is a character like any other. Possessive throughout, and a
+# tag that is never closed runs to the end, so a page is read once.
+_VALUE = r"""=\s*+(?:"[^"]*"|'[^']*')?+"""
+_ATTRIBUTES = rf"[^>=]*+(?:{_VALUE}[^>=]*+)*+"
+_TAG = rf"<(?=[A-Za-z/!?]){_ATTRIBUTES}(?:>|\z)|<(?![A-Za-z/!?])[^<>]*+>"
+_INLINE_TAG = rf"(?i)</?(?:{INLINE_TAGS})(?:\s{_ATTRIBUTES})?(?:>|\z)"
+
+
+def _with_href(tag: str) -> str:
+    """An opening tag up to its first ``href``, whose value is the only group."""
+    before = r"""(?:[^>=\s<]|\s(?!href\s*=)|=\s*+(?:"[^"]*"|'[^']*'|[^\s><]*+))*+"""
+    return rf"""(?is)<{tag}(?=[\s/]){before}\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
 _SPACE = "[ \t\r\n\f\u00a0]+"
 _ZERO_WIDTH = "\u200b\u00ad"
 _OTHER_ENTITY = (
@@ -117,8 +132,8 @@ def without_unseen(html: Column) -> Column:
 def body_text(html: Column) -> Column:
     """Visible body text with single spaces; empty for a null page."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN_OR_TITLE, "")
-    text = F.regexp_replace(text, rf"(?i)</?({INLINE_TAGS})(\s[^>]*)?>", "")
-    text = F.regexp_replace(text, "<[^>]*>", " ")
+    text = F.regexp_replace(text, _INLINE_TAG, "")
+    text = F.regexp_replace(text, _TAG, " ")
     return _squeeze(decode_entities(text, F.coalesce(html, F.lit(""))))
 
 
@@ -131,9 +146,7 @@ def title(html: Column) -> Column:
 def hrefs(html: Column) -> Column:
     """``href`` of every anchor in document order, entities decoded."""
     seen = without_unseen(F.coalesce(html, F.lit("")))
-    found = F.regexp_extract_all(
-        seen, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), 1
-    )
+    found = F.regexp_extract_all(seen, F.lit(_with_href("a")), 1)
     bare = F.transform(found, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
     return F.transform(
         bare, lambda h: F.when(h.contains("&"), decode_entities(h, attribute=True)).otherwise(h)
@@ -143,11 +156,7 @@ def hrefs(html: Column) -> Column:
 def base_href(html: Column) -> Column:
     """Value of the first ``base`` element, empty when there is none."""
     return F.regexp_replace(
-        F.regexp_extract(
-            F.coalesce(html, F.lit("")),
-            r"""(?is)<base\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""",
-            1,
-        ),
+        F.regexp_extract(F.coalesce(html, F.lit("")), _with_href("base"), 1),
         r"""^["']|["']$""",
         "",
     )

@@ -152,6 +152,11 @@ def test_zone_at_clock_changes(spark):
         ("<body>seen<!-- not <a href='/x'>x</a>", "seen", []),
         ("<body>seen<script>if (a < b) <a href='/x'>", "seen", []),
         ("<head><title>t</title><body>b</body>", "b", []),
+        ('<p title="1 > 0">a</p><a title="x > y" href="/q">b</a>', "a b", ["/q"]),
+        ("<a title=' href=/no>' data-x = \"<i>\" href='/yes'>c</a><img alt='>'>d", "c d", ["/yes"]),
+        ('<a title="open href=/x>e</a>f', "ef", ["/x"]),
+        ("3 < 4 and 5 > 4 <b", "3 4", []),
+        ('<a\nclass=k href = /n >g</a><abbr href="/no">h</abbr>', "g h", ["/n"]),
     ],
 )
 def test_pages_that_are_not_well_formed(spark, page, text, links):
@@ -166,6 +171,13 @@ def test_a_page_of_openers_ends(spark):
     assert df.select(F.size(html.hrefs(F.col("h")))).first()[0] == 0
 
 
+def test_unclosed_tags_and_quotes_end(spark):
+    for opener in ("<a ", "<a x=", "<p title='", "< ", '<a href "'):
+        df = spark.range(1).select(F.repeat(F.lit(opener), 1_000_000 // len(opener)).alias("h"))
+        row = df.select(F.length(html.body_text(F.col("h"))), F.size(html.hrefs(F.col("h")))).first()
+        assert row[1] == 0
+
+
 def test_words_of_many_scripts(spark):
     df = spark.createDataFrame([("東京都の天気 नमस्ते カタカナー abc1 ́x",)], "t string")
     got = df.select(text.tokens(F.col("t"))).first()[0]
