@@ -6,7 +6,7 @@ hold is spread over as many partitions as it fills; each partition is read as a
 sorted stream in which the occurrences of a line follow each other. A run that
 touches neither end of its partition is decided there. The runs at the two ends
 may go on next door; they are at most two keys per partition and are decided by
-one aggregate over all partitions. What comes back per document is a compressed
+one aggregate over all partitions, as is a run that fills a whole batch of rows. What comes back per document is a compressed
 keep bitmap, not text.
 
 Defined cases: a null or empty text is one empty line; a key shorter than
@@ -48,7 +48,7 @@ def line_key(line: bytes) -> bytes:
 
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 2 << 20):
             digests, rows, places = [], [], []
             for row, text in enumerate(raw_texts(batch.column("_text"))):
                 for place, line in enumerate(text.split(b"\n")):
@@ -85,7 +85,7 @@ def _decide_runs(min_docs: int, keep_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the run that is still open
-        open_key, first = None, True
+        open_key, first = None, True  # first: the open run's rows are passed on as they come
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -93,10 +93,10 @@ def _decide_runs(min_docs: int, keep_first: bool):
             if open_key == ends and all(
                 batch.column(c)[0].as_py() == ends[c] for c in ("h1", "h2")
             ):
-                if first:  # undecided whatever follows, so nothing is held back
-                    yield from out(pa.Table.from_batches([batch]), np.ones(batch.num_rows, bool), True)
-                else:
-                    held.append(batch)
+                # A run this long is settled like one at an end, so nothing is held back.
+                for rows in [*held, batch]:
+                    yield from out(pa.Table.from_batches([rows]), np.ones(rows.num_rows, bool), True)
+                held, first = [], True
                 continue
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
             h1, h2 = (table.column(c).to_numpy() for c in ("h1", "h2"))
@@ -190,7 +190,7 @@ def line_bitmaps(
     per_doc = at_edge.groupBy("h1", "h2", "_key").agg(
         F.min(F.struct("_id", "_key", "pos")).alias("first")
     )
-    # Written first: two rows a partition at most, which Spark then broadcasts.
+    # Written first: two rows a partition, and one for each line that fills a batch.
     totals = ws.save(
         per_doc.groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.min("first").alias("first"))
@@ -227,7 +227,7 @@ def line_bitmaps(
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "_text", 4 << 20):
         kept = []
         for text, n, gone, bits in zip(
             raw_texts(batch.column("_text")),
