@@ -53,6 +53,7 @@ MIN_WORDS = 30
 SHINGLE = 15
 WINDOW = 16
 EDGE = 3
+SAMPLE = 16  # one document in so many is hashed to find the partitions' bounds
 _SIDE = WINDOW - 1
 
 _UNIT = re.compile(r"[^.!?\n]*(?:[.!?](?!\s)[^.!?\n]*)*(?:[.!?]\s+|\n\s*|[.!?]?\Z)")
@@ -300,6 +301,46 @@ def _passages(min_words: int):
     return run
 
 
+def _rank(h1, h2, id_, key, start) -> tuple:
+    return h1, h2, id_ is not None, id_ if id_ is not None else 0, key, start
+
+
+def _range_bounds(rows: DataFrame, schema: T.StructType, order: list[str], width: int) -> list[tuple]:
+    """Where partitions begin, one entry each, from every ``SAMPLE``-th document's hashes.
+
+    Only the balance of partitions depends on it: hashing a sample costs a part of
+    what hashing all rows a second time would.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("_key"), F.lit(SAMPLE)) == 0)
+    begins = (
+        sample.mapInArrow(_hash_units, schema)
+        .select(*order)
+        .repartitionByRange(width, *order)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.min(F.struct(*order)).alias("at"))
+        .collect()
+    )
+    return sorted(_rank(*r["at"]) for r in begins)[1:]
+
+
+def _placed(bounds: list[tuple]):
+    """Hashed units with the partition they belong to."""
+    heads = np.array([b[0] for b in bounds], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _hash_units(batches):
+            h1 = batch.column("h1").to_numpy()
+            part = np.searchsorted(heads, h1, "left").astype(np.int32)
+            ties = np.flatnonzero(np.searchsorted(heads, h1, "right") > part)
+            if len(ties):  # units whose first 64 bits are a bound's
+                asked = batch.take(pa.array(ties)).select(["h1", "h2", "_id", "_key", "start"])
+                ranks = zip(*(c.to_pylist() for c in asked.columns), strict=True)
+                part[ties] = [bisect_right(bounds, _rank(*r)) for r in ranks]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
+
+    return run
+
+
 def repeated_passages(
     docs: DataFrame,
     ws: Workspace,
@@ -323,9 +364,11 @@ def repeated_passages(
     unit += fields(("start", T.IntegerType()), ("words", T.IntegerType()), ("around", T.BinaryType()))
     order = ["h1", "h2", "_id", "_key", "start"]
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _range_bounds(rows, T.StructType(unit), order, width)
     found = ws.save(
-        rows.mapInArrow(_hash_units, T.StructType(unit))
-        .repartitionByRange(width, *order)
+        rows.mapInArrow(_placed(bounds), T.StructType([*unit, T.StructField("part", T.IntegerType())]))
+        .repartitionById(width, "part")
+        .drop("part")
         .sortWithinPartitions(*order)
         .mapInArrow(_repeats, T.StructType(unit + fields(("role", T.IntegerType()), ("first_id", kind)))),
         "repeats",
