@@ -30,7 +30,10 @@ def test_same_as_sql(spark, name):
 
 
 def test_substrings(spark, documents):
-    """Every word removed is repeated, and next to no run of 51 repeated words is left."""
+    """Every word removed is repeated, and next to no run of 51 repeated words is left.
+
+    Runs of seven words or fewer over and over are left out, as the operator says.
+    """
     got = collections.defaultdict(list)
     for r in queries.op2_substring_dedup(spark, FOLDER).collect():
         got[r.doc_id].append(r)
@@ -57,9 +60,11 @@ def test_substrings(spark, documents):
         assert not (removed & ~repeated).any()
         edges = np.flatnonzero(np.diff(np.r_[False, long_run, False]))
         for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            if len(set(words[lo:hi])) <= 7:  # a few words over and over are no fingerprint
+                continue
             runs += 1
             caught += removed[lo:hi].any()
-    assert gone > 0 and runs > 0 and caught >= 0.97 * runs
+    assert gone > 0 and runs > 0 and caught >= 0.99 * runs
 
 
 def test_languages(spark, documents):
