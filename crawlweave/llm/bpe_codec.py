@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from crawlweave.llm.rows import raw_texts, slices
 
-MEMO = 600_000
+MEMO = 400_000
 LONGEST = 64  # bytes of a piece that is remembered
 
 _ASCII_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -133,7 +133,7 @@ def certain_cuts(inside: np.ndarray) -> re.Pattern:
 
 
 class Codec:
-    """Exact ids of texts, and back; it remembers pieces and fragments."""
+    """Exact ids of texts; it remembers pieces and fragments."""
 
     def __init__(self, model: bytes, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,8 +193,10 @@ class Codec:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text in UTF-8, little-endian unsigned 32-bit each."""
-        if len(self._pieces) > MEMO or len(self._fragments) > MEMO:
-            self._pieces, self._fragments = {}, {}
+        if len(self._pieces) > MEMO:
+            self._pieces = {}
+        if len(self._fragments) > MEMO // 2:
+            self._fragments = {}
         if self._special is None or not self._special.search(text):
             return self._plain(text) if text else b""
         out, done = [], 0
@@ -204,6 +206,13 @@ class Codec:
         out.append(self._plain(text[done:]) if done < len(text) else b"")
         return b"".join(out)
 
+
+class Decoder:
+    """Texts of ids; those outside the vocabulary stand for nothing."""
+
+    def __init__(self, model: bytes):
+        self.bytes_of = token_bytes(plain_byte_bpe(model))
+
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4")
         if len(numbers) and numbers.max() >= len(self.bytes_of):
@@ -223,6 +232,11 @@ def shared_codec(model: bytes, specials: bool = True) -> Codec:
     return Codec(model, specials)
 
 
+@lru_cache(maxsize=4)
+def _shared_decoder(model: bytes) -> Decoder:
+    return Decoder(model)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         model = f.read()
@@ -265,9 +279,9 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     model = read_model(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared_codec(model)
+        decoder = _shared_decoder(model)
         for batch in slices(batches, "ids"):
-            texts = [codec.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            texts = [decoder.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"]
             )
