@@ -355,8 +355,7 @@ def top_scored(
     weights = _weights(index, queries, ws, boosts)
     rare = ranking.rare_terms(weights, hits)
     early = [ranking.score(index.live(s.postings, s), rare, boosts) for s in index.segments]
-    floors = ws.save(ranking.floors(_union(early), hits), "floors")
-    judged = ws.save(ranking.needed_terms(weights, floors), "judged")
+    judged = ws.save(ranking.needed_terms(weights, ranking.floors(_union(early), hits)), "judged")
     needed = judged.where("needed")
     share = judged.agg(F.sum(F.when(F.col("needed"), F.col("df")).otherwise(0)), F.sum("df")).first()
     if share[1] and share[0] > prune_share * share[1]:
