@@ -26,8 +26,9 @@ is left unchecked.
 
 Defined cases: a null text or one without words has an empty set, no links and
 is kept; fewer words than a shingle make one shingle; ids are whole numbers,
-rows that share an id are one node; a row without an id links with nothing and
-is kept; an empty table gives an empty table.
+rows that share an id are one node, whose texts are all compared (ids lie below
+2**62 then); a row without an id links with nothing and is kept; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -322,6 +323,21 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _numbered(first: DataFrame, ws: Workspace) -> DataFrame:
+    """Add ``rep``, the node of each digest: its id, or if several digests have that
+    id, a number above all ids for all but one, so that each text is compared.
+    """
+    several = first.groupBy("id").agg(F.count("*").alias("c"), F.min("key").alias("least"))
+    more = first.join(several.where("c > 1"), "id").where("key != least").select("digest", "id")
+    top = first.agg(F.max("id")).first()[0] or 0
+    more = ws.save(
+        more.select("digest", (F.lit(top) + 1 + F.monotonically_increasing_id()).alias("rep")), "more"
+    )
+    return first.join(more, "digest", "left").select(
+        "digest", "id", "key", F.coalesce("rep", "id").alias("rep")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     ws: Workspace,
@@ -341,13 +357,13 @@ def near_duplicates(
     )
     able = described.where((F.col("n") > 0) & F.col("_id").isNotNull())
     first = able.groupBy("digest").agg(F.min(F.struct("_id", "_key")).alias("f"))
-    first = ws.save(first.select("digest", F.col("f._id").alias("rep"), F.col("f._key").alias("key")), "first")
-    # One row per representative: rows that share an id are one node.
+    first = ws.save(first.select("digest", F.col("f._id").alias("id"), F.col("f._key").alias("key")), "first")
+    first = ws.save(_numbered(first, ws), "numbered")
+    # One row per representative; rows that share an id meet again by ``copies``.
     own = described.join(
-        first.groupBy("rep").agg(F.min("key").alias("key")),
-        (F.col("_id") == F.col("rep")) & (F.col("_key") == F.col("key")),
-    )
-    reps = ws.save(own.groupBy("rep", "key", "n").agg(F.min("sig").alias("sig")), "reps")
+        first.select("digest", "rep", F.col("id").alias("_rid"), "key"), "digest"
+    ).where((F.col("_id") == F.col("_rid")) & (F.col("_key") == F.col("key")))
+    reps = ws.save(own.groupBy("rep", "_id", "key", "n").agg(F.min("sig").alias("sig")), "reps")
     copies = able.join(first.select("digest", "rep"), "digest").where("_id != rep").select(
         F.col("rep").alias("a"), F.col("_id").alias("b")
     )
@@ -386,12 +402,14 @@ def near_duplicates(
     )
     best = ws.save(best, "best")
 
-    needed = company.select("rep").join(reps.select("rep", "key"), "rep")
+    needed = company.select("rep").join(
+        reps.select("rep", F.col("_id").alias("_rid"), "key"), "rep"
+    )
     texts = rows.where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).mapInArrow(
         _pack_texts, "_id bigint, _key bigint, packed binary"
     )
     sets = ws.save(
-        texts.join(needed, (F.col("_id") == F.col("rep")) & (F.col("_key") == F.col("key")))
+        texts.join(needed, (F.col("_id") == F.col("_rid")) & (F.col("_key") == F.col("key")))
         .dropDuplicates(["rep"])
         .select("rep", "packed"),
         "sets",

@@ -287,6 +287,23 @@ def test_keys_cover_the_distance():
         assert minhash_dedup.first_slots(a, b[None])[0] in shared
 
 
+def test_near_duplicates_of_each_text_of_an_id(spark, ws):
+    texts = [[f"t{i}w{k}" for k in range(100)] for i in range(12)]
+    rows, want = [], {}
+    for i in range(0, 12, 2):
+        near = list(texts[i + 1])
+        near[50] = "changed"
+        # Two texts under one id, and near copies of both, and an exact one, under others.
+        rows += [(i, " ".join(texts[i])), (i, " ".join(texts[i + 1])), (100 + i, " ".join(near))]
+        other = list(texts[i])
+        other[20] = "other"
+        rows += [(200 + i, " ".join(other)), (300 + i, " ".join(texts[i + 1]))]
+        want |= {i: i, 100 + i: i, 200 + i: i, 300 + i: i}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(df, ws).collect()
+    assert len(got) == len(rows) and {r._id: r.component for r in got} == want
+
+
 def test_odd_near_duplicates(spark, ws, odd, none):
     got = minhash_dedup.near_duplicates(odd, ws).collect()
     assert len(got) == odd.count()
