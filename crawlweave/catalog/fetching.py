@@ -21,6 +21,8 @@ from crawlweave.operators import gate
 from crawlweave.operators.links import page_links
 from crawlweave.plans.search import page_docs
 from crawlweave.sources import documents, frontier, requests
+from crawlweave.sources.attempts import UNSEEN
+from crawlweave.sources.attempts import fetch_attempts as try_fetch
 from crawlweave.sources.pages import BODY_CAP, cap_body, fetch, latest_by_url
 from crawlweave.workspace import Workspace
 
@@ -186,6 +188,54 @@ def fetch_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("asker", "pos", "url", "page_id", "found", "n_bytes")
 
 
+# A thousand times faster than the event table, so that tries meet other observations.
+_EPOCH = 1704067200000000
+_FAST = f"({_EPOCH} + (epoch_us(ts) - {_EPOCH}) // 1000)"
+
+
+@query(
+    "fetch_attempts",
+    f"""WITH seen AS (SELECT event_id AS page_id, 'https://www.s.org/' || (event_id * 7 % 40) AS url,
+                {_FAST} AS us,
+                CASE WHEN event_type IN ('error', 'view') THEN 'Failed: ' || event_type END AS error
+              FROM events),
+    states AS (SELECT * FROM seen QUALIFY row_number() OVER
+                 (PARTITION BY url, us ORDER BY error IS NOT NULL DESC, error DESC, page_id DESC) = 1),
+    tries AS (SELECT event_id AS ask_id, 'https://www.s.org/' || (event_id % 41) AS url, k,
+                {_FAST} + event_id * 37 % 2000000 - 1000000 + (2 ** k - 1)::BIGINT * 1000000 AS us
+              FROM events, (VALUES (0), (1), (2)) AS f(k)),
+    found AS (SELECT t.ask_id, t.url, t.k, t.us, s.page_id,
+                CASE WHEN s.us IS NULL THEN '{UNSEEN}' ELSE s.error END AS error
+              FROM tries t ASOF LEFT JOIN states s ON t.url = s.url AND t.us >= s.us),
+    good AS (SELECT ask_id, min(k) AS k FROM found WHERE error IS NULL GROUP BY 1)
+    SELECT f.ask_id, f.url, CAST(f.k + 1 AS BIGINT) AS attempts,
+           CASE WHEN f.error IS NULL THEN f.us END AS fetched_us,
+           CASE WHEN f.error IS NULL THEN f.page_id END AS page_id, f.error
+    FROM found f LEFT JOIN good g ON f.ask_id = g.ask_id
+    WHERE f.k = coalesce(g.k, 2)""",
+)
+def fetch_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    event, kind = F.col("event_id"), F.col("event_type")
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH
+    fast = _EPOCH + F.floor(since / 1000).cast("bigint")
+    site = F.lit("https://www.s.org/")
+    observed = events.select(
+        event.alias("page_id"),
+        F.concat(site, (event * 7 % 40).cast("string")).alias("url"),
+        F.timestamp_micros(fast).alias("seen_at"),
+        F.when(kind.isin("error", "view"), F.concat(F.lit("Failed: "), kind)).alias("error"),
+    )
+    asks = events.select(
+        event.alias("ask_id"),
+        F.concat(site, (event % 41).cast("string")).alias("url"),
+        F.timestamp_micros(fast + event * 37 % 2000000 - 1000000).alias("asked_at"),
+    )
+    return try_fetch(asks, observed).select(
+        "ask_id", "url", "attempts", F.unix_micros("fetched_at").alias("fetched_us"), "page_id", "error"
+    )
+
+
 @query(
     "body_cap",
     f"""WITH b AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages)

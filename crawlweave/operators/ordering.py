@@ -52,3 +52,47 @@ def running_before(
         .withColumn(out, (F.col(base) + F.col("_local")).cast("bigint"))
         .drop(block, "_local", base, *named.values())
     )
+
+
+def latest_as_of(
+    asks: DataFrame,
+    facts: DataFrame,
+    group: str,
+    time: str,
+    value: Column,
+    out: str,
+    block_micros: int = 3_600_000_000,
+) -> DataFrame:
+    """``asks`` with ``out``: ``value`` of the newest of ``facts`` not later than the ask.
+
+    Both have ``group`` and the timestamp ``time``; of facts at the same time the
+    greatest value counts, and a fact without a group or time counts for nothing.
+    Time is cut into blocks: windows run inside a block of a group, and what is
+    newest before a block is carried over blocks, so a group with very many facts
+    is no single task's work.
+    """
+    block = F.expr(f"unix_micros(`{time}`) div {block_micros}")
+    told = facts.where(F.col(group).isNotNull() & F.col(time).isNotNull()).select(
+        F.col(group).alias("_g"), block.alias("_b"), F.col(time).alias("_t"), value.alias("_v")
+    )
+    asked = asks.select(
+        F.col(group).alias("_g"), block.alias("_b"), F.col(time).alias("_t"),
+        F.struct(*asks.columns).alias("_ask"),
+    )
+    both = told.unionByName(asked, allowMissingColumns=True)
+    within = W.partitionBy("_g", "_b").orderBy(
+        "_t", F.col("_ask").isNotNull(), F.col("_v")
+    ).rowsBetween(W.unboundedPreceding, W.currentRow)
+    newest = F.last("_v", ignorenulls=True)
+    blocks = both.groupBy("_g", "_b").agg(
+        F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_m")
+    )
+    earlier = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(
+        F.col("_g").alias("_cg"),
+        F.col("_b").alias("_cb"),
+        F.last(F.col("_m._v"), ignorenulls=True).over(earlier).alias("_c"),
+    )
+    here = both.withColumn("_v", newest.over(within)).where(F.col("_ask").isNotNull())
+    same = F.col("_g").eqNullSafe(F.col("_cg")) & F.col("_b").eqNullSafe(F.col("_cb"))
+    return here.join(carried, same).select("_ask.*", F.coalesce("_v", "_c").alias(out))

@@ -20,6 +20,8 @@ from crawlweave.operators import frontier as steps
 from crawlweave.operators import gate
 from crawlweave.operators.links import explode_links, in_scope, with_links
 from crawlweave.operators.ordering import running_before
+from crawlweave.plans.slots import claims_within_slots
+from crawlweave.plans.store import CrawlStore
 from crawlweave.schemas import INHERITED
 from crawlweave.sources.documents import doc_key
 from crawlweave.sources.pages import cap_body, fetch, latest_by_url
@@ -88,6 +90,7 @@ def crawl(
     budget: str = "discovered",
     scope: str = "prefix",
     normalize: bool = True,
+    store: CrawlStore | None = None,
 ) -> CrawlResult:
     """Run all ``requests`` to the end of their budgets.
 
@@ -97,28 +100,42 @@ def crawl(
 
     ``budget="discovered"`` counts a URL against ``max_urls`` when it is first
     seen, so known but unfetched URLs use up the budget; ``"fetched"`` counts
-    pages read. ``now`` is the clock for deadlines and stop signals.
+    pages read. ``"literal"`` counts as ``"discovered"`` does, but a record may only
+    take as many links from the top of its page as URLs are left, known ones included.
+    ``now`` is the clock for deadlines and stop signals.
+
+    With a ``store``, what it holds of these crawls is reset before they begin and
+    replaced when they end; other crawls' files are not touched.
     """
-    if budget not in ("discovered", "fetched"):
+    if budget not in ("discovered", "fetched", "literal"):
         raise ValueError(f"unknown budget {budget!r}")
     ws = ws.child("crawl")
     if normalize:
         requests = normalize_requests(requests)
+    if store is not None:
+        store.begin(requests, now)
     columns = ["crawl_id", "seq", "url", "distance", *INHERITED]
     seeds = seed_records(requests).select(columns)
     buckets = ws.buckets_for(snapshot.facts.count())
-    frontier = _add_to_frontier(seeds, ws, buckets, "overwrite")
+    current = ws.save(seeds, "levels/level=0")
+    frontier = _add_to_frontier(current, ws, buckets, "overwrite")
     level = 0
     # The first level runs even when no request is valid, and leaves empty tables.
-    while level == 0 or not frontier.where(F.col("distance") == level).isEmpty():
+    while level == 0 or not current.isEmpty():
         signals = _signals(control, now, ws, level)
-        frontier = _run_level(
-            level, frontier, signals, columns, snapshot, ws, buckets, now, budget, scope
+        children = _run_level(
+            level, current, frontier, signals, columns, snapshot, ws, now, budget, scope
         )
         level += 1
-    return _collect_result(
+        # A level is read from its own table; all records are for checking claims only.
+        current = ws.save(children, f"levels/level={level}")
+        frontier = _add_to_frontier(current, ws, buckets, "append")
+    result = _collect_result(
         requests, snapshot, frontier, ws, scope, now, _signals(control, now, ws, level)
     )
+    if store is not None:
+        store.publish(requests, result.visited, result.status)
+    return result
 
 
 def _signals(control: Control | None, now: Column, ws: Workspace, level: int) -> DataFrame | None:
@@ -144,17 +161,17 @@ def _add_to_frontier(records: DataFrame, ws: Workspace, buckets: int, mode: str)
 
 def _run_level(
     level: int,
+    current: DataFrame,
     frontier: DataFrame,
     signals: DataFrame | None,
     columns: list[str],
     snapshot: Snapshot,
     ws: Workspace,
-    buckets: int,
     now: Column,
     budget: str,
     scope: str,
 ) -> DataFrame:
-    current = frontier.where(F.col("distance") == level)
+    """The records that the level's records, ``current``, add to the ``frontier``."""
     fetched = fetch(current, snapshot.facts)
     if signals is None:
         fetched = fetched.withColumn("stopped", F.lit(False))
@@ -195,17 +212,25 @@ def _run_level(
     candidates = parents.join(targets, "page_id").where(
         in_scope(F.col("url"), F.col("base_url"), scope)
     )
-    claims = ws.save(
-        steps.not_visited(steps.claim_first(candidates), frontier), f"claims/level={level}"
+    state = current.groupBy("crawl_id").agg(
+        (F.max("seq") + 1).alias("known"), F.max("max_urls").alias("max_urls")
     )
+    if budget == "literal":
+        name = f"slots/level={level}"
+        claims = claims_within_slots(
+            candidates.select("crawl_id", "parent_seq", "pos", "url"), frontier, state, ws, name
+        )
+    else:
+        claims = ws.save(
+            steps.not_visited(steps.claim_first(candidates), frontier), f"claims/level={level}"
+        )
 
     per_parent = claims.groupBy("crawl_id", F.col("parent_seq").alias("seq")).agg(
         F.count("*").alias("new_urls")
     )
-    state = current.groupBy("crawl_id").agg((F.max("seq") + 1).alias("known"))
     log = (
         able.join(per_parent, ["crawl_id", "seq"], "left")
-        .join(state, "crawl_id")
+        .join(state.select("crawl_id", "known"), "crawl_id")
         .withColumn("new_urls", F.coalesce("new_urls", F.lit(0)).cast("bigint"))
     )
     if budget == "fetched":
@@ -251,7 +276,7 @@ def _run_level(
     children = numbered.withColumn("seq", seq).withColumn("distance", F.col("distance") + 1)
     if budget == "discovered":
         children = children.where((F.col("max_urls") <= 0) | (F.col("seq") < F.col("max_urls")))
-    return _add_to_frontier(children.select(columns), ws, buckets, "append")
+    return children.select(columns)
 
 
 def _with_fetched_so_far(log: DataFrame, level: int, ws: Workspace) -> DataFrame:

@@ -59,7 +59,7 @@ def simulate(row, site, budget):
     queue, visited, fetched, docs, errors = deque([(base, 0)]), [], [], [], []
     while queue:
         url, distance = queue.popleft()
-        used = len(visited) if budget == "discovered" else len(fetched)
+        used = len(fetched) if budget == "fetched" else len(visited)
         if 0 <= max_distance < distance or 0 < max_urls <= used:
             continue
         targets, status, length = site.get(url, ([], None, 0))
@@ -74,6 +74,8 @@ def simulate(row, site, budget):
             errors.append(url)
             continue
         docs.append(url)
+        if max_urls > 0 and budget == "literal":
+            found = found[: max(max_urls - len(visited), 0)]
         new = [t for t in found if t not in visited]
         if max_urls > 0 and budget == "discovered":
             new = new[: max(max_urls - len(visited), 0)]
@@ -82,7 +84,7 @@ def simulate(row, site, budget):
     return visited, fetched, docs, errors
 
 
-@pytest.mark.parametrize("budget", ["discovered", "fetched"])
+@pytest.mark.parametrize("budget", ["discovered", "fetched", "literal"])
 def test_same_as_queue(spark, budget):
     rows, pages, sites = random_sites(80)
     done = run(spark, rows, pages, budget=budget)
