@@ -328,3 +328,26 @@ def highlight(spark: SparkSession, folder: str) -> DataFrame:
         F.get(text.highlights(F.col("title"), words), F.lit(0)).alias("title_hit"),
         F.array_join(text.highlights(F.col("content"), words), " | ").alias("content_hits"),
     )
+
+
+@query(
+    "highlight_best",
+    rf"""WITH {_PAGE_DOCS_SQL},
+    cut AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(content, ''), '(?s){_PASSAGE}'),
+              lambda p: trim(p, ' ')) AS ps FROM docs),
+    each AS (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS place FROM cut),
+    rated AS (SELECT *, len(list_distinct(list_filter(
+                regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+'),
+                lambda w: list_contains({list(_MARKED)}, w)))) AS cover FROM each),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cover DESC, place) AS nth
+             FROM rated WHERE cover > 0)
+    SELECT d.doc_id, array_to_string(list_transform(
+             regexp_extract_all(b.p, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'),
+             lambda x: CASE WHEN list_contains({list(_MARKED)}, lower(x))
+                            THEN '<em>' || x || '</em>' ELSE x END), '') AS content_hit
+    FROM docs d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.nth = 1""",
+)
+def highlight_best(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in _MARKED])
+    docs = plan.page_docs(table(spark, folder, "pages"))
+    return docs.select("doc_id", text.best_highlight(F.col("content"), words).alias("content_hit"))

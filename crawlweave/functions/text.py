@@ -58,8 +58,25 @@ def first_highlight(text: Column, terms: Column) -> Column:
     return mark(F.get(hits, F.lit(0)), terms)
 
 
-def snippet(title: Column, content: Column, terms: Column) -> Column:
-    """First title highlight, else first content highlight, else empty."""
-    return F.coalesce(
-        first_highlight(title, terms), first_highlight(content, terms), F.lit("")
+def best_highlight(text: Column, terms: Column) -> Column:
+    """The marked passage that holds most of the different ``terms``, the first of several.
+
+    Null when no passage holds a term.
+    """
+    rated = F.transform(
+        passages(text),
+        lambda p, i: F.struct(
+            F.size(F.array_intersect(tokens(p), terms)).alias("cover"), (-i).alias("place"), p.alias("p")
+        ),
     )
+    best = F.array_max(F.filter(rated, lambda r: r["cover"] > 0))
+    return mark(best["p"], terms)
+
+
+def snippet(title: Column, content: Column, terms: Column, best: bool = False) -> Column:
+    """First title highlight, else first content highlight, else empty.
+
+    With ``best``, in each field the passage with most terms instead of the first.
+    """
+    pick = best_highlight if best else first_highlight
+    return F.coalesce(pick(title, terms), pick(content, terms), F.lit(""))

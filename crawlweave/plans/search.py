@@ -290,18 +290,26 @@ def search(
     boosts: Mapping[str, float] = ranking.BOOSTS,
     hits: int = ranking.HITS,
     cap: int = ranking.CAP,
+    best_passage: bool = False,
 ) -> DataFrame:
     """Results ``(query_id, rank, tier, url, snippet)`` for ``queries(query_id, text)``.
 
     Ranking works on addresses and flags; texts are read for the results only.
+    Snippets are the first passage with a word of the query, or with
+    ``best_passage`` the one with most of them.
     """
     ws = ws.child("search")
     best = ws.save(top_scored(index, queries, ws, boosts, hits), "hits")
-    return _present(index, best, queries, ws, cap)
+    return _present(index, best, queries, ws, cap, best_passage)
 
 
 def _present(
-    index: SearchIndex, best: DataFrame, queries: DataFrame, ws: Workspace, cap: int
+    index: SearchIndex,
+    best: DataFrame,
+    queries: DataFrame,
+    ws: Workspace,
+    cap: int,
+    best_passage: bool = False,
 ) -> DataFrame:
     narrow = index.docs.select("doc_id", "url", "homepage", "article")
     ranked = ws.save(
@@ -319,7 +327,7 @@ def _present(
         "rank",
         "tier",
         "url",
-        text.snippet(F.col("title"), F.col("content"), F.col("terms")).alias("snippet"),
+        text.snippet(F.col("title"), F.col("content"), F.col("terms"), best_passage).alias("snippet"),
     )
 
 

@@ -137,10 +137,16 @@ def compact_rows(ws: Workspace, name: str, keys: tuple[str, ...], upto: int) ->
     """Fold the batches up to ``upto``, all of them finished, into one table.
 
     Later reads take it and the batches after it. Run it between micro-batches.
+    What an earlier call folded is removed: a reader that began before this call
+    still finds its files, one that began before the last call may not.
     """
     rows = ws.load(name)
     done = ws.compacted(name)
     if done is not None:
         number, base = done
+        if upto <= number:
+            return
         rows = base.unionByName(rows.where(F.col("batch") > number).select(base.columns))
     ws.save(_newest(rows.where(F.col("batch") <= upto), keys), f"{name}-upto-{upto}")
+    if done is not None:
+        ws.drop_folded(name, number)

@@ -154,6 +154,19 @@ class Workspace:
         files = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)
         return [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in files or ()]
 
+    def drop_folded(self, name: str, upto: int) -> None:
+        """Remove batches of ``name`` up to ``upto``, and tables folded before that one."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        old = [f"{name}-upto-{k}" for k in self._numbered(f"{name}-upto-*") if k < upto]
+        batches = hadoop.Path(f"{self.path(name)}/batch=*")
+        files = batches.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(batches) or ():
+            folder = found.getPath().getName()
+            if int(folder.partition("=")[2]) <= upto:
+                old.append(f"{name}/{folder}")
+        for folder in old:
+            files.delete(hadoop.Path(self.path(folder)), True)
+
     def newest(self, name: str) -> int | None:
         """The greatest number of the finished tables ``name-<number>``."""
         return max(self._numbered(f"{name}-*"), default=None)

@@ -184,3 +184,15 @@ def test_words_of_many_scripts(spark):
     assert got == ["東", "京", "都", "の", "天", "気", "नमस्ते", "カタカナー", "abc1", "x"]
     marked = df.select(text.mark(F.col("t"), F.array(F.lit("京"), F.lit("abc1")))).first()[0]
     assert marked.startswith("東<em>京</em>都の") and "<em>abc1</em>" in marked
+
+
+def test_best_passage(spark):
+    df = spark.createDataFrame(
+        [("One a here. Then b and a. Again a, b! No more.",), ("none at all",), ("a a a. b a. ",), (None,), ("",)],
+        "t string",
+    )
+    terms = F.array(F.lit("a"), F.lit("b"))
+    got = [r[0] for r in df.select(text.best_highlight(F.col("t"), terms)).collect()]
+    assert got == ["Then <em>b</em> and <em>a</em>.", None, "<em>b</em> <em>a</em>.", None, None]
+    shown = df.select(text.snippet(F.lit(None).cast("string"), F.col("t"), terms, best=True))
+    assert [r[0] for r in shown.collect()] == [got[0], "", got[2], "", ""]

@@ -91,9 +91,10 @@ def test_compacted_batches(spark, ws):
     batch, stream = write_log(spark, ws)
     each_batch(crawls.live_status(stream), ws, "s", mode="update").awaitTermination()
     whole = latest_rows(ws, "s", ("crawl_id",)).collect()
-    for upto in (0, 1):
+    for upto, left in ((0, [0, 1, 2]), (1, [1, 2]), (1, [1, 2]), (2, [2])):
         compact_rows(ws, "s", ("crawl_id",), upto)
         assert ws.compacted("s")[0] == upto
+        assert [r.batch for r in ws.load("s").select("batch").distinct().orderBy("batch").collect()] == left
         assert sorted(map(str, latest_rows(ws, "s", ("crawl_id",)).collect())) == sorted(map(str, whole))
 
 
