@@ -170,7 +170,8 @@ def count_tokens(
     """``_id, n_bytes, n_tokens`` of each row.
 
     ``cache`` is a Parquet folder of earlier counts, kept in ``ws`` when not
-    given. It holds one row per content and tokenizer version.
+    given. It holds a row per content and tokenizer version, or several equal ones
+    where jobs that ran side by side met the same content.
     """
     spark = docs.sparkSession
     model, version = tokenizer_version(tokenizer_path)
@@ -198,6 +199,8 @@ def count_tokens(
     )
     n_bytes = F.coalesce(F.octet_length(F.col("_text")), F.lit(0)).cast("bigint")
     sized = rows.select("_id", "digest", n_bytes.alias("n_bytes"))
-    return sized.join(stored().select("digest", "n_tokens"), "digest").select(
+    # Two jobs may have appended the same content; their counts are equal.
+    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return sized.join(counts, "digest").select(
         "_id", "n_bytes", "n_tokens"
     )

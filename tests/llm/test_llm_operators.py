@@ -253,6 +253,14 @@ def test_cache(spark, ws, odd, none):
     assert token_counts.count_tokens(none, ws.child("e"), TOKENIZER).count() == 0
 
 
+def test_cache_that_two_jobs_wrote(spark, ws, odd):
+    caches = [ws.path("one"), ws.path("two")]
+    want = [token_counts.count_tokens(odd, ws, TOKENIZER, c).collect() for c in caches][0]
+    spark.read.parquet(caches[1]).write.mode("append").parquet(caches[0])
+    got = token_counts.count_tokens(odd, ws, TOKENIZER, caches[0]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # --- near duplicates ---------------------------------------------------------------------
 
 
