@@ -15,7 +15,13 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 100) -> DataFrame:
-    """Stream of the Parquet files in ``folder`` that match ``name``."""
+    """Stream of the Parquet files in ``folder`` that match ``name``.
+
+    A table ``name`` may be a folder of files, too; all of them are read then.
+    """
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if whole.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(whole):
+        folder, name = f"{folder}/{name}", "*"
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
     return (
         spark.readStream.schema(schema)

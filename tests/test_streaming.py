@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from crawlweave.catalog import QUERIES
 from crawlweave.operators.status import status_latest, visited_count
 from crawlweave.plans import search
 from crawlweave.streaming import crawls
@@ -180,3 +181,12 @@ def test_stream_is_searchable_batch_by_batch(spark, ws):
         index = search.open_index(home)
         found = {w: search.search_one(index, w, ws).count() for w in ("old", "new", "middle")}
         assert found == [{"old": 5, "new": 0, "middle": 0}, {"old": 4, "new": 1, "middle": 0}][n]
+
+
+def test_tables_that_are_folders(spark, ws):
+    rows = [(n, f"https://h{n % 2}.org/{n}", f"<title>t{n}</title><body>b {n}</body>") for n in range(7)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    ws.save(pages.repartition(3), "tables/pages.parquet")
+    ws.save(pages.limit(1), "tables/others.parquet")
+    found = QUERIES["stream_index"](spark, ws.path("tables")).collect()
+    assert sorted((r.url, r.title, r.content) for r in found) == sorted((u, f"t{n}", f"b {n}") for n, u, _ in rows)
