@@ -30,6 +30,7 @@ import itertools
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ TOP = 2000
 BLOCK = 16 << 20
 BURST = 4096
 ENTRIES = 1_000_000
-FEED = 1 << 18  # places counted at once
+FEED = 1 << 16  # places counted at once
 SAMPLE = 16  # one block in so many is counted beforehand to find the partitions' bounds
 
 # What ends a piece, what ends a word, and lower case.
@@ -137,6 +138,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block.rows(schema)
 
 
+_key = itemgetter(0)
+
+
+def _cells(words: np.ndarray) -> list[bytes]:
+    """The rows of a matrix, each as bytes."""
+    width = words.shape[1] * words.itemsize
+    return np.ascontiguousarray(words).view(f"V{width}").ravel().tolist() if width else [b""] * len(words)
+
+
 class HatTrie:
     """Counts of word runs: first word, then a container, or containers by second word.
 
@@ -147,39 +157,37 @@ class HatTrie:
     def __init__(self, longest: int, burst: int = BURST, entries: int = ENTRIES):
         self.width, self.burst, self.most = 4 * longest, burst, entries
         self.leaves: dict[bytes, Counter] = {}  # by first word
-        self.inner: dict[bytes, dict[bytes, Counter]] = {}  # by first word, then second
+        self.inner: dict[bytes, dict[bytes, dict]] = {}  # by first word, then second
         self.size = 0
         self.spilled: list[tuple[bytes, np.ndarray]] = []
 
     def add(self, runs: np.ndarray) -> None:
         """Count the rows of ``runs``, word numbers as unsigned 32-bit integers."""
-        runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-        data = runs.astype(">u4").tobytes()
-        width = self.width
-        new = np.ones(len(runs), bool)
-        new[1:] = (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 1] != runs[:-1, 1])
-        begins = np.flatnonzero(new).tolist()
-        for lo, hi in zip(begins, [*begins[1:], len(runs)], strict=True):
-            first = data[lo * width : lo * width + 4]
-            second = data[lo * width + 4 : lo * width + 8]
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        data = runs.astype(">u4")
+        seconds, rests, ends = (_cells(data[:, x]) for x in np.s_[1:2, 1:, 2:])
+        begins = np.flatnonzero(np.diff(runs[:, 0].astype(np.int64), prepend=-1))
+        for first, lo, hi in zip(_cells(data[begins, :1]), begins.tolist(), [*begins[1:].tolist(), len(runs)], strict=True):
             children = self.inner.get(first)
             if children is None:
                 leaf = self.leaves.get(first)
                 if leaf is None:
                     leaf = self.leaves[first] = Counter()
-                skip = 4
-            else:
+                before = len(leaf)
+                leaf.update(rests[lo:hi])
+                self.size += len(leaf) - before
+                if len(leaf) > self.burst:
+                    children = self.inner[first] = {}
+                    for rest, n in self.leaves.pop(first).items():
+                        children.setdefault(rest[:4], {})[rest[4:]] = n
+                continue
+            for second, end in zip(seconds[lo:hi], ends[lo:hi], strict=True):
                 leaf = children.get(second)
                 if leaf is None:
-                    leaf = children[second] = Counter()
-                skip = 8
-            before = len(leaf)
-            leaf.update([data[i * width + skip : (i + 1) * width] for i in range(lo, hi)])
-            self.size += len(leaf) - before
-            if skip == 4 and len(leaf) > self.burst:
-                children = self.inner[first] = {}
-                for rest, n in self.leaves.pop(first).items():
-                    children.setdefault(rest[:4], Counter())[rest[4:]] = n
+                    leaf = children[second] = {}
+                n = leaf.get(end, 0)
+                leaf[end] = n + 1
+                self.size += not n
         if self.size > self.most:
             self._spill(self.most // 2)
 
@@ -191,15 +199,14 @@ class HatTrie:
             if self.size <= leave:
                 break
             if first in self.leaves:
-                found = [(first + rest, n) for rest, n in self.leaves.pop(first).items()]
+                parts = [(first, self.leaves.pop(first))]
             else:
-                found = [
-                    (first + second + rest, n)
-                    for second, leaf in self.inner.pop(first).items()
-                    for rest, n in leaf.items()
-                ]
-            found.sort()
-            keys, counts = zip(*found, strict=True)
+                parts = [(first + second, leaf) for second, leaf in sorted(self.inner.pop(first).items(), key=_key)]
+            keys, counts = [], []
+            for prefix, leaf in parts:
+                ends = sorted(leaf)
+                keys += prefix, prefix.join(ends)  # each end behind the words before it
+                counts += map(leaf.__getitem__, ends)
             self.spilled.append((b"".join(keys), np.array(counts, np.int64)))
             self.size -= size
 

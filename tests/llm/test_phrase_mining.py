@@ -73,6 +73,23 @@ def test_trie_bursts_and_spills():
         assert run == sorted(run)
 
 
+def test_a_container_is_fed_once_for_a_first_word(monkeypatch):
+    calls = []
+
+    class Counted(collections.Counter):
+        def update(self, *given):
+            calls.append(given)
+            super().update(*given)
+
+    monkeypatch.setattr(phrase_mining, "Counter", Counted)
+    trie = phrase_mining.HatTrie(3, burst=1000)
+    trie.add(np.array([[1 + i % 2, i + 1, 5] for i in range(200)], np.uint32))
+    assert len([c for c in calls if c]) <= 4
+    keys, counts = trie.runs()
+    assert sorted(map(tuple, keys.tolist())) == sorted((1 + i % 2, i + 1, 5) for i in range(200))
+    assert counts.tolist() == [1] * 200
+
+
 def test_counts_over_many_partitions(spark, ws, monkeypatch):
     rows = some_rows()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(9)
