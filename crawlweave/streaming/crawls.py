@@ -153,8 +153,8 @@ class _CrawlClock(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
-        begun, before, urls, seqs = held or (None, None, [], [])
+        # Each call to the state is a round trip; get gives None where there is none yet.
+        begun, before, urls, seqs = self.state.get() or (None, None, [], [])
         known, deadline, any_row = dict(zip(urls, seqs, strict=True)), before, False
         for row in rows:
             if begun is not None and row.seq < begun:

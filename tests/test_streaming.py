@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from crawlweave.catalog import QUERIES
@@ -190,3 +191,17 @@ def test_tables_that_are_folders(spark, ws):
     ws.save(pages.limit(1), "tables/others.parquet")
     found = QUERIES["stream_index"](spark, ws.path("tables")).collect()
     assert sorted((r.url, r.title, r.content) for r in found) == sorted((u, f"t{n}", f"b {n}") for n, u, _ in rows)
+
+
+def test_state_of_a_crawl_is_read_in_one_call():
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name)
+
+    clock = crawls._CrawlClock(timers=False)
+    clock.state = State()
+    record = Row(seq=1, start=True, deadline=None, url="u")
+    assert [r.n for r in clock.handleInputRows(("c", 0), iter([record]), None)] == [1]
+    assert calls == ["get", "update"]
