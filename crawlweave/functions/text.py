@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 # katakana by the run, as scripts without spaces have no other words to find.
 _ALONE = r"\p{IsHan}\p{IsHiragana}"
 _SPACELESS = _ALONE + r"\p{IsKatakana}\u30FC"
+# Latin and Cyrillic letters and digits, all of them in the classes they stand beside:
+# named first, they need no look at a character's script, which is slow.
+_COMMON = r"a-zA-Z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF\u0400-\u0481"
 TOKEN = (
-    rf"[\p{{L}}\p{{N}}&&[^{_SPACELESS}]][\p{{L}}\p{{N}}\p{{M}}&&[^{_SPACELESS}]]*"
-    rf"|[{_ALONE}]\p{{M}}*|[\p{{IsKatakana}}\u30FC][\p{{IsKatakana}}\u30FC\p{{M}}]*"
+    rf"[{_COMMON}[\p{{L}}\p{{N}}&&[^{_SPACELESS}]]][{_COMMON}[\p{{L}}\p{{N}}\p{{M}}&&[^{_SPACELESS}]]]*+"
+    rf"|(?![\x00-\x7F])(?:[{_ALONE}]\p{{M}}*|[\p{{IsKatakana}}\u30FC][\p{{IsKatakana}}\u30FC\p{{M}}]*)"
 )
 PIECE = TOKEN + r"|[^\p{L}\p{N}]+"
 PASSAGE = r"(?s)[^.!?]{1,100}[.!?]+(?:\s+|$)|.{1,100}(?:\s+|$)|.{1,100}"

@@ -149,10 +149,8 @@ def _write_segment(
         counted, "postings", ["doc_id"], sort=["field", "term"], buckets=buckets, placed=True
     )
     corpus = ws.save(idx.corpus_stats(postings).coalesce(1), "lengths")
-    peaks = ws.save(
-        ranking.peaks(postings, corpus).repartitionByRange("field", "term").sortWithinPartitions("field", "term"),
-        "peaks",
-    )
+    # Joins read them whole, so they stay where they are counted.
+    peaks = ws.save(ranking.peaks(postings, corpus).sortWithinPartitions("field", "term"), "peaks")
     terms = peaks.groupBy("field", "term").agg(F.sum("docs").alias("df"), F.max("peak").alias("peak"))
     sums = corpus.select("field", "n_docs", "sum_dl", F.col("avgdl").alias("built_avgdl"))
     if earlier is not None and dead is not None:

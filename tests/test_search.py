@@ -208,3 +208,17 @@ def test_update_leaves_old_files_alone(spark, ws, corpus):
     text = live._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in text and "Write" not in text
     assert grown.docs.where("doc_id = 3").select("content").collect()[0][0] == "changed"
+
+
+def test_peaks_are_dealt_out_once(spark, ws, monkeypatch):
+    plans, save = {}, Workspace.save
+
+    def noted(self, df, name, *given, **named):
+        plans[name] = df._jdf.queryExecution().toString()
+        return save(self, df, name, *given, **named)
+
+    monkeypatch.setattr(Workspace, "save", noted)
+    docs = spark.createDataFrame([(1, "u", "a", "b b")], "doc_id bigint, url string, title string, content string")
+    index = plan.build_index(docs, ws)
+    assert "rangepartitioning" not in plans["peaks"]
+    assert sorted((r.field, r.term, r.docs) for r in index.segments[0].peaks.collect()) == [("content", "b", 1), ("title", "a", 1)]
