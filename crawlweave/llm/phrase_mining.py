@@ -1,10 +1,11 @@
 """Collocations by counting phrases in a HAT-trie.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words. Blocks of
-about ``BLOCK`` bytes of text send each of their words once, with its number; words
-of ``min_count`` occurrences in their language get a number, and the blocks learn the
-numbers of their words. A rarer word is in no phrase that counts, so it ends a run
-like a piece's end.
+about ``BLOCK`` bytes of text send each of their words once, with its number. One
+shuffle brings a word's rows together, one per block that has it; windows over them
+sum its occurrences, and where these reach ``min_count`` in its language, give it a
+number, which goes back to the blocks. A rarer word is in no phrase that counts, so it
+ends a run like a piece's end.
 
 A block then counts, for every place, the run of up to ``longest`` words that begins
 there, in a HAT-trie: a shallow trie over word numbers whose leaves are hash
@@ -52,6 +53,7 @@ BLOCK = 16 << 20
 BURST = 4096
 ENTRIES = 1_000_000
 FEED = 1 << 16  # places counted at once
+BUCKETS = 1 << 16  # of words, by hash; a word's number is its bucket and its place in it
 SAMPLE = 16  # one block in so many is counted beforehand to find the partitions' bounds
 
 # What ends a piece, what ends a word, and lower case.
@@ -216,15 +218,15 @@ class HatTrie:
         data = b"".join(keys for keys, _ in self.spilled)
         counts = [n for _, n in self.spilled]
         return (
-            np.frombuffer(data, ">u4").reshape(-1, self.width // 4).astype(np.int32),
+            np.frombuffer(data, ">u4").reshape(-1, self.width // 4),
             np.concatenate(counts) if counts else np.zeros(0, np.int64),
         )
 
 
-def _packed(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _packed(rows: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Runs and counts two numbers to a column, in the order of the runs."""
-    whole = np.concatenate([rows, np.zeros((len(rows), (rows.shape[1] + 1) % 2), np.int64), counts[:, None]], axis=1)
-    return whole[:, ::2] << 32 | whole[:, 1::2]
+    halves = [*rows.T, *[np.zeros(len(rows), np.int64)] * ((rows.shape[1] + 1) % 2), counts]
+    return [a.astype(np.int64) << 32 | b.astype(np.int64) for a, b in zip(halves[::2], halves[1::2], strict=True)]
 
 
 def _unpacked(columns: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,33 +238,36 @@ def _columns(longest: int) -> list[str]:
     return [f"c{i}" for i in range((longest + 2) // 2)]
 
 
+def _block_runs(longest: int, streams: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a block in the words' numbers, and their counts."""
+    trie = HatTrie(longest)
+    for stream in streams.column("stream").to_pylist():
+        local = unpack_numbers(stream, np.uint32)
+        number = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
+        number[answers.column("at").to_numpy()] = answers.column("id").to_numpy()
+        words = np.concatenate([number[local], np.zeros(longest, np.uint32)])
+        begins = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
+        for lo in range(0, len(begins), FEED):
+            rows = words[begins[lo : lo + FEED, None] + np.arange(longest)]
+            rows[np.cumsum(rows == 0, axis=1) > 0] = 0
+            trie.add(rows)
+    return trie.runs()
+
+
 def _count_runs(longest: int, bounds: list[tuple]):
     """Packed runs of a block, with the partition that their words belong to."""
     names = _columns(longest)
     heads = np.array([b[0] for b in bounds], np.int64)
 
     def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
-        trie = HatTrie(longest)
-        for stream in streams.column("stream").to_pylist():
-            local = unpack_numbers(stream, np.uint32)
-            number = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
-            number[answers.column("at").to_numpy()] = answers.column("id").to_numpy()
-            words = np.concatenate([number[local], np.zeros(longest, np.uint32)])
-            begins = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
-            for lo in range(0, len(begins), FEED):
-                rows = words[begins[lo : lo + FEED, None] + np.arange(longest)]
-                rows[np.cumsum(rows == 0, axis=1) > 0] = 0
-                trie.add(rows)
-        rows, counts = trie.runs()
-        packed = _packed(rows, counts)
-        part = np.searchsorted(heads, packed[:, 0], "left")
-        ties = np.flatnonzero(np.searchsorted(heads, packed[:, 0], "right") > part)
+        packed = _packed(*_block_runs(longest, streams, answers))
+        part = np.searchsorted(heads, packed[0], "left")
+        ties = np.flatnonzero(np.searchsorted(heads, packed[0], "right") > part)
         # The count must not tell equal runs apart, so a bound's own is 0.
-        bare = packed[ties] - np.r_[np.zeros(len(names) - 1, np.int64), 1] * (packed[ties] & 0xFFFFFFFF)
-        part[ties] = [bisect_right(bounds, tuple(r)) for r in bare.tolist()]
-        return pa.table(
-            [*(pa.array(packed[:, i]) for i in range(len(names))), pa.array(part.astype(np.int32))], names=[*names, "part"]
-        )
+        bare = [c[ties] for c in packed[:-1]] + [packed[-1][ties] & ~0xFFFFFFFF]
+        part[ties] = [bisect_right(bounds, r) for r in zip(*(c.tolist() for c in bare), strict=True)]
+        made = pa.table([*map(pa.array, packed), pa.array(part.astype(np.int32))], names=[*names, "part"])
+        return pa.Table.from_batches(made.to_batches(FEED), made.schema)  # sent batch by batch
 
     return run
 
@@ -321,15 +326,24 @@ def _merge(longest: int, min_count: int):
     return run
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        at = np.arange(done, done + batch.num_rows, dtype=np.int64)
-        done += batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int64)), pa.array(at)],
-            [*batch.schema.names, "part", "place"],
-        )
+def common_words(held: DataFrame, min_count: int) -> DataFrame:
+    """``block, at, lang, word, n, id`` of the words of ``min_count`` occurrences or more.
+
+    ``held`` has a row for each block and word. The rows stay those of ``held``, so
+    there are never more; ``n`` is the word's sum over all blocks, and ``id`` its number
+    from 1, small as long as words are few.
+    """
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))
+    place = F.dense_rank().over(W.partitionBy("bucket").orderBy("lang", "word")).cast("bigint") - 1
+    return (
+        held.withColumn("bucket", bucket)
+        .repartition("bucket")  # serves both windows
+        .withColumn("n", F.sum("n").over(W.partitionBy("bucket", "lang", "word")))
+        .where(F.col("n") >= min_count)
+        # An error beyond 2**15 words of a bucket, about 2**31 words in all.
+        .withColumn("id", (place * BUCKETS + F.col("bucket") + 1).cast("int"))
+        .drop("bucket")
+    )
 
 
 def phrase_counts(
@@ -349,23 +363,11 @@ def phrase_counts(
     blocks = ws.save(rows.mapInArrow(_read, _BLOCKS), "blocks")
     held = blocks.where("at is not null").select("block", "at", "lang", "word", "n")
     totals = ws.save(held.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    common = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    placed = T.StructType(
-        [
-            T.StructField("lang", T.StringType()),
-            T.StructField("word", T.StringType()),
-            *[T.StructField(c, T.LongType()) for c in ("n", "part", "place")],
-        ]
-    )
-    numbered = ws.save(common.mapInArrow(_number, placed), "numbered")
-    # One row per partition of the table above.
-    parts = numbered.groupBy("part").agg(F.count("*").alias("size"))
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    number = (F.col("offset") + F.col("place") + 1).cast("int")  # an error beyond 2**31 words
-    words = ws.save(numbered.join(offsets, "part").select(number.alias("id"), "lang", "word", "n"), "words")
-
-    answers = held.drop("n").join(words.drop("n"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
+    # Written once: the sample of blocks and all blocks are both answered from it.
+    common = ws.save(common_words(held, min_count), "common")
+    words = ws.save(common.select("id", "lang", "word", "n").distinct(), "words")
+
+    answers = common.select(F.col("block").alias("asker"), "at", "id")
     streams = blocks.where("stream is not null").select("block", "stream")
     names, columns = [f"w{i}" for i in range(longest)], _columns(longest)
     packed = T.StructType([*[T.StructField(c, T.LongType()) for c in columns], T.StructField("part", T.IntegerType())])

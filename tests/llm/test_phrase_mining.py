@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from crawlweave.llm import phrase_mining
@@ -109,6 +111,49 @@ def test_counts_over_many_partitions(spark, ws, monkeypatch):
     }
 
 
+def held_rows(spark, blocks=7):
+    """A row per block and word, as blocks send them; every block has the word ``w0``."""
+    rows = [
+        (b, i + 1, lang, f"w{i}", 1 + (i + b) % 3)
+        for b in range(blocks)
+        for lang in ("de", "en")
+        for i in range(40)
+        if (i * b) % (5 + i % 2) == 0
+    ]
+    return rows, spark.createDataFrame(rows, "block bigint, at int, lang string, word string, n bigint")
+
+
+def test_words_stay_the_rows_that_blocks_sent(spark, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "BUCKETS", 3)  # so many words share a bucket
+    rows, held = held_rows(spark)
+    sums = collections.Counter()
+    for _, _, lang, word, n in rows:
+        sums[lang, word] += n
+    got = phrase_mining.common_words(held.repartition(5), 6).collect()
+    want = {(b, at, lang, word, sums[lang, word]) for b, at, lang, word, _ in rows if sums[lang, word] >= 6}
+    assert len(got) == len(want) < len(rows) and {(r.block, r.at, r.lang, r.word, r.n) for r in got} == want
+    ids = {(r.lang, r.word, r.id) for r in got}
+    names = {x[:2] for x in ids}
+    assert len(ids) == len(names) == len({x[2] for x in ids}) and min(x[2] for x in ids) > 0
+    assert names == {k for k, n in sums.items() if n >= 6}
+
+
+def test_more_words_than_numbers_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "BUCKETS", 1 << 30)
+    monkeypatch.setattr(phrase_mining.F, "xxhash64", lambda *_: F.lit(7))  # all in one bucket
+    with pytest.raises(ArithmeticException):
+        phrase_mining.common_words(held_rows(spark)[1], 1).collect()
+
+
+def test_blocks_learn_numbers_without_a_join_by_word(spark, ws, monkeypatch):
+    df = spark.createDataFrame(some_rows(60), "lang string, text string").repartition(3)
+    joined, kind = [], type(df)
+    plain = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: joined.append(on) or plain(self, other, on, how))
+    phrases, _, _ = phrase_mining.phrase_counts(df, ws, min_count=3)
+    assert phrases.count() and joined and ["lang", "word"] not in joined
+
+
 def test_scores_and_ranks(spark, ws):
     rows = some_rows(120)
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit(1)).withColumn("id", F.lit("x"))
